@@ -31,6 +31,15 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
+def exact_mean(x: Column) -> Column:
+    """Mean that does not depend on the order of rows.
+
+    Floating sums change in the last digit with the order of addition, which shows after rounding
+    when the mean sits on a tie. Values are summed as whole billionths instead.
+    """
+    return F.sum(F.rint(x * 1e9).cast("decimal(20,0)")).cast("double") / 1e9 / F.count(x)
+
+
 def cap(x: Column, high: float) -> Column:
     """Upper bound that keeps nulls (``least`` would replace them)."""
     return F.when(x > high, F.lit(high)).otherwise(x)

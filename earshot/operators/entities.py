@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot import constants as K
-from earshot.functions.numbers import flag, right_closed_bin, round_half_even
+from earshot.functions.numbers import exact_mean, flag, right_closed_bin, round_half_even
 from earshot.functions.times import whole_days_between
 from earshot.operators.joins import attach
 
@@ -26,8 +26,8 @@ def entity_stats(plays: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
         F.min("timestamp").alias("first_play"),
         F.max("timestamp").alias("last_play"),
         _skip3().alias("skip_rate"),
-        round_half_even(F.avg("percent_played"), 3).alias("avg_completion"),
-        round_half_even(F.avg("engagement_score"), 3).alias("avg_engagement"),
+        round_half_even(exact_mean(F.col("percent_played")), 3).alias("avg_completion"),
+        round_half_even(exact_mean(F.col("engagement_score")), 3).alias("avg_engagement"),
         round_half_even(F.avg(flag(F.col("shuffle"))), 3).alias("shuffle_rate"),
         F.mode("platform", True).alias("preferred_platform"),
         round_half_even(F.sum("ms_played") / 1e3, 3).alias("total_seconds"),
@@ -64,8 +64,8 @@ def track_stats(plays: DataFrame) -> DataFrame:
     return plays.groupBy("track_name", "artist_name").agg(
         F.count("*").alias("track_play_count"),
         _skip3().alias("track_skip_rate"),
-        round_half_even(F.avg("percent_played"), 3).alias("track_avg_completion"),
-        round_half_even(F.avg("engagement_score"), 3).alias("track_avg_engagement"),
+        round_half_even(exact_mean(F.col("percent_played")), 3).alias("track_avg_completion"),
+        round_half_even(exact_mean(F.col("engagement_score")), 3).alias("track_avg_engagement"),
     )
 
 
@@ -74,7 +74,7 @@ def artist_stats(plays: DataFrame) -> DataFrame:
         F.count("*").alias("artist_play_count"),
         F.countDistinct("track_name").alias("artist_unique_tracks"),
         _skip3().alias("artist_skip_rate"),
-        round_half_even(F.avg("engagement_score"), 3).alias("artist_avg_engagement"),
+        round_half_even(exact_mean(F.col("engagement_score")), 3).alias("artist_avg_engagement"),
     )
 
 
@@ -104,8 +104,8 @@ def cluster_profile(sessions: DataFrame, entity: Sequence[str] = ENTITY, min_pla
         round_half_even(F.sum("ms_played") / 1e3, 3).alias("total_seconds"),
         round_half_even(F.sum("ms_played") / 1e3 / F.count("*"), 3).alias("avg_seconds_per_play"),
         _skip3().alias("skip_rate"),
-        round_half_even(F.avg("percent_played"), 3).alias("avg_completion"),
-        round_half_even(F.avg("engagement_score"), 3).alias("avg_engagement"),
+        round_half_even(exact_mean(F.col("percent_played")), 3).alias("avg_completion"),
+        round_half_even(exact_mean(F.col("engagement_score")), 3).alias("avg_engagement"),
         round_half_even(F.avg(flag(F.col("shuffle"))), 3).alias("shuffle_rate"),
         F.mode("platform", True).alias("preferred_platform"),
         F.mode("time_of_day", True).alias("preferred_time"),
@@ -126,7 +126,7 @@ def entity_profile(plays: DataFrame, entity: Sequence[str] = ENTITY, min_plays:
         round_half_even(F.sum("ms_played") / 1e3, 3).alias("total_seconds"),
         round_half_even(F.sum("ms_played") / 1e3 / F.count("*"), 3).alias("avg_seconds_per_play"),
         _skip3().alias("skip_rate"),
-        round_half_even(F.avg("percent_played"), 3).alias("avg_percent_played"),
+        round_half_even(exact_mean(F.col("percent_played")), 3).alias("avg_percent_played"),
         round_half_even(F.avg(flag(F.col("shuffle"))), 3).alias("shuffle_rate"),
         F.mode("hour_of_day", True).alias("preferred_hour"),
         F.mode("platform", True).alias("preferred_platform"),

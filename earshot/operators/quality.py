@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.constants import KNOWN_PLATFORMS, LONG_SKIP_MS, OLDEST_PLAUSIBLE
+from earshot.constants import KNOWN_PLATFORMS, LONG_SKIP_MS, MAX_PLAY_MS, OLDEST_PLAUSIBLE, RAW_COLUMNS
 from earshot.functions.numbers import round_half_up
 from earshot.functions.texts import one_decimal_text, whole_text
 from earshot.functions.times import whole_days_between
@@ -191,6 +191,23 @@ def audit_trail(raw: DataFrame) -> DataFrame:
     return trail.unionByName(final)
 
 
+def audit_log(raw: DataFrame) -> DataFrame:
+    """What cleaning found and did, as (step, metric, value) rows."""
+    rows = audit_trail(raw).select(F.lit("rows").alias("step"), F.col("step").alias("metric"), F.col("n_rows").alias("value"))
+    missing = null_profile(raw, RAW_COLUMNS).select(
+        F.lit("missing").alias("step"), F.col("column").alias("metric"), F.col("n_missing").alias("value")
+    )
+    typed = cleaning.typed(raw)
+    capped = typed.agg(F.count_if(F.col("ms_played") > MAX_PLAY_MS).alias("value")).select(
+        F.lit("outliers").alias("step"), F.lit("capped").alias("metric"), "value"
+    )
+    kept = typed.transform(cleaning.cap).transform(cleaning.drop_negative)
+    duplicates = dup_count(kept).select(
+        F.lit("duplicates").alias("step"), F.lit("exact").alias("metric"), F.col("duplicates").alias("value")
+    )
+    return rows.unionByName(missing).unionByName(capped).unionByName(duplicates)
+
+
 # What a column name must contain or start with to count for a group.
 _NAME_PARTS = {
     "temporal": ("hour", "day", "time", "season", "weekend", "morning", "evening", "night", "peak"),

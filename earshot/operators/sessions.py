@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from earshot import constants as K
-from earshot.functions.numbers import flag, ratio, right_closed_bin, round_half_even, round_half_up
+from earshot.functions.numbers import exact_mean, flag, ratio, right_closed_bin, round_half_even, round_half_up
 from earshot.functions.times import day_part, micros_between, minutes_between
 from earshot.operators.joins import attach, normalise_by_max
 from earshot.operators.ordered import order_log, previous
@@ -143,7 +143,7 @@ def session_metrics(sessions: DataFrame, min_tracks: int = 2) -> DataFrame:
         F.countDistinct("artist_name").alias("unique_artists"),
         F.sum("ms_played").alias("ms"),
         F.avg(flag(F.col("is_skip"))).alias("skip"),
-        F.avg("percent_played").alias("pct"),
+        exact_mean(F.col("percent_played")).alias("pct"),
         F.mode("platform", True).alias("primary_platform"),
         F.avg(flag(F.col("shuffle"))).alias("shuffled"),
     ).where(F.col("n") >= min_tracks)
@@ -203,7 +203,7 @@ def session_feature_table(sessions: DataFrame) -> DataFrame:
     grouped = sessions.groupBy("session_id").agg(
         *_times(),
         round_half_even(F.avg(flag(F.col("is_skip"))), 3).alias("session_skip_rate"),
-        round_half_even(F.avg("engagement_score"), 3).alias("session_avg_engagement"),
+        round_half_even(exact_mean(F.col("engagement_score")), 3).alias("session_avg_engagement"),
     )
     n, skip, engaged = F.col("n"), F.col("session_skip_rate"), F.col("session_avg_engagement")
     quality = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.numbers import flag, round_half_even, round_half_up
+from earshot.functions.numbers import exact_mean, flag, round_half_even, round_half_up
 from earshot.operators.joins import normalise_by_max
 from earshot.operators.ranking import add_ntile, add_ranks
 from earshot.plans import measures as m
@@ -139,7 +139,7 @@ def listening_time_leaders(plays: DataFrame, k: int = 15) -> DataFrame:
             m.plays().alias("play_count"),
             round_half_even(F.sum("ms_played") / 1e3, 2).alias("total_seconds"),
             round_half_even(F.avg(flag(F.col("is_skip"))), 2).alias("skip_rate"),
-            round_half_even(F.avg("percent_played"), 2).alias("avg_percent_played"),
+            round_half_even(exact_mean(F.col("percent_played")), 2).alias("avg_percent_played"),
             round_half_even(F.sum("ms_played") / 6e4, 1).alias("total_minutes"),
         )
         .orderBy(F.desc("total_minutes"), "track_name", "artist_name")

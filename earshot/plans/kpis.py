@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot import constants as K
-from earshot.functions.numbers import flag, round_half_up
+from earshot.functions.numbers import exact_mean, flag, round_half_up
 from earshot.functions.texts import grouped_text, one_decimal_text, percent_text, whole_text
 from earshot.operators.quality import unpivot_row
 from earshot.operators.trends import peaks
@@ -31,7 +31,7 @@ def _totals(plays: DataFrame) -> DataFrame:
         F.countDistinct("date").alias("days"),
         (F.sum("ms_played") / 3.6e6).alias("hours"),
         F.avg(flag(F.col("is_skip"))).alias("skip"),
-        F.avg("percent_played").alias("pct"),
+        exact_mean(F.col("percent_played")).alias("pct"),
         share["web player"].alias("web"),
         share["iOS"].alias("ios"),
         share["android"].alias("android"),
@@ -139,7 +139,7 @@ def insights(plays: DataFrame, scored: DataFrame, retention: DataFrame, churn: D
         F.min_by("platform", "rank").alias("best_platform"), F.max_by("platform", "rank").alias("least_engaging")
     )
     quality = scored.agg(
-        F.avg("session_quality_score").alias("score"),
+        exact_mean(F.col("session_quality_score")).alias("score"),
         (F.avg(flag(F.col("session_quality_score") < 33)) * 1e2).alias("low_pct"),
         F.avg("session_duration_minutes").alias("length"),
     )

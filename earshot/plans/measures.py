@@ -8,9 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earshot.functions.numbers import flag, round_half_even, round_half_up
-
-SKIP = F.col("is_skip")
+from earshot.functions.numbers import exact_mean, flag, round_half_even, round_half_up
 
 
 def plays() -> Column:
@@ -38,7 +36,7 @@ def skip_pct(digits: int = 1) -> Column:
 
 
 def completion(digits: int = 1) -> Column:
-    return round_half_up(F.avg("percent_played"), digits)
+    return round_half_up(exact_mean(F.col("percent_played")), digits)
 
 
 def skip_rate3() -> Column:
@@ -46,7 +44,7 @@ def skip_rate3() -> Column:
 
 
 def completion3() -> Column:
-    return round_half_even(F.avg("percent_played"), 3)
+    return round_half_even(exact_mean(F.col("percent_played")), 3)
 
 
 def shuffle_rate3() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from earshot.functions.numbers import equal_width_bin, flag, round_half_up, round_signed
+from earshot.functions.numbers import equal_width_bin, exact_mean, flag, round_half_up, round_signed
 from earshot.operators import sessions as S
 from earshot.operators import trends
 from earshot.operators.joins import share_of_total
@@ -16,8 +16,9 @@ from earshot.operators.quality import quantiles
 from earshot.plans import measures as m
 
 
-def _avg(col: str) -> Column:
-    return round_half_up(F.avg(col), 1)
+def _avg(col: str, digits: int = 1) -> Column:
+    """Mean of one-decimal values; tenths are summed as integers, exact in any order of rows."""
+    return round_half_up(F.sum(F.rint(F.col(col) * 10.0).cast("bigint")) / 10.0 / F.count(col), digits)
 
 
 def _high_pct() -> Column:
@@ -126,7 +127,7 @@ def session_summary(stats: DataFrame) -> DataFrame:
     row = stats.agg(
         F.count("*").alias("sessions"),
         round_half_up(F.sum("tracks_count") / F.count("*"), 4).alias("tracks_per_session"),
-        round_half_up(F.avg("session_duration_minutes"), 4).alias("avg_duration"),
+        _avg("session_duration_minutes", 4).alias("avg_duration"),
         round_half_up(F.avg("skip_rate"), 4).alias("avg_skip_rate"),
         round_half_up(F.count("*") / F.countDistinct(F.to_date("session_start")), 4).alias("daily_sessions"),
         F.lit(1).alias("_one"),
@@ -144,7 +145,7 @@ def score_shares(scored: DataFrame) -> DataFrame:
 
 
 def score_by_platform(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("primary_platform").agg(round_half_up(F.avg("session_quality_score"), 4).alias("avg_score"))
+    return scored.groupBy("primary_platform").agg(round_half_up(exact_mean(F.col("session_quality_score")), 4).alias("avg_score"))
 
 
 def histogram(table: DataFrame, col: str, bins: int) -> DataFrame:
@@ -160,7 +161,8 @@ def histogram(table: DataFrame, col: str, bins: int) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     width = (F.col("_hi") - F.col("_lo")) / float(bins)
-    grid = edges.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"), "_lo", "_hi").select(
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
+    grid = edges.select(F.explode(numbers).alias("bin"), "_lo", "_hi").select(
         "bin",
         round_signed(F.col("_lo") + width * F.col("bin"), 6).alias("lo"),
         round_signed(F.col("_lo") + width * (F.col("bin") + 1), 6).alias("hi"),

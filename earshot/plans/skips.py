@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot import constants as K
-from earshot.functions.numbers import flag, round_half_even, round_half_up, round_signed
+from earshot.functions.numbers import exact_mean, flag, ratio, round_half_even, round_half_up, round_signed
 from earshot.operators.features import top_categories
 from earshot.operators.quality import unpivot_row
 from earshot.plans import measures as m
@@ -44,8 +44,8 @@ def skip_summary(plays: DataFrame) -> DataFrame:
         m.skips().alias("skipped"),
         m.skip_pct().alias("skip_rate"),
         m.completion().alias("avg_pct_all"),
-        round_half_up(F.avg(F.when(~F.col("is_skip"), pct)), 1).alias("avg_pct_non_skip"),
-        round_half_up(F.avg(F.when(F.col("is_skip"), pct)), 1).alias("avg_pct_skip"),
+        round_half_up(exact_mean(F.when(~F.col("is_skip"), pct)), 1).alias("avg_pct_non_skip"),
+        round_half_up(exact_mean(F.when(F.col("is_skip"), pct)), 1).alias("avg_pct_skip"),
     )
 
 
@@ -90,11 +90,17 @@ def raw_skip_by(plays: DataFrame, key: str) -> DataFrame:
 
 
 def skip_correlations(plays: DataFrame, min_abs: float = 0.01, digits: int = 6) -> DataFrame:
-    """Pearson correlation of simple features with skipping, strongest first, one aggregation."""
+    """Pearson correlation of simple features with skipping, strongest first, one aggregation.
+
+    A constant feature has no correlation and is left out.
+    """
     features = {c: F.col(c).cast("double") for c in ("hour_of_day", "day_of_week_num", "estimated_track_length_ms")}
     features["shuffle"] = flag(F.col("shuffle"))
     features |= {f"platform_{p}": flag(F.col("platform") == p) for p in top_categories(plays, "platform")}
-    row = plays.agg(*[F.corr(x, flag(F.col("is_skip"))).alias(name) for name, x in features.items()])
+    y = flag(F.col("is_skip"))
+    row = plays.agg(*[
+        ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(name) for name, x in features.items()
+    ])
     table = unpivot_row(row, {name: F.col(f"`{name}`") for name in features}, "feature", "corr")
     return (
         table.where(F.abs("corr") > min_abs)
