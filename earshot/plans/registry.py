@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from earshot import constants as K
 from earshot.functions import numbers, texts, times
+from earshot.learning import clusters, matrix, models, scores
 from earshot.operators import cleaning, entities, features, joins, ordered, pivots, quality, sessions, trends
 from earshot.plans import activity, content, kpis, platforms, retention, segments, session_reports, skips
 from earshot.plans import measures as m
@@ -17,6 +18,7 @@ from earshot.plans.workspace import Workspace
 from earshot.sources import plays as readers
 from earshot.sources import sinks
 from earshot.sources.staging import stage_path
+from earshot.streaming import jobs
 
 # Ten-minute gaps give many sessions on the test tables; per listener the log is sparser.
 GAP = timedelta(minutes=10)
@@ -413,8 +415,147 @@ SESSIONS: dict[str, Query] = {
 }
 
 
+# ---------------------------------------------------------------- models and segments
+
+# Small settings, so that a run over all queries stays short; the library's defaults are larger.
+SETTINGS = models.Settings(trees=20, tree_depth=6, iterations=100, rounds=10, round_depth=4, folds=3)
+
+
+def _model(ws: Workspace, name: str):
+    return ws.keep(f"model {name}", lambda: models.train(name, ws.train, SETTINGS))
+
+
+def _trained(name: str) -> Query:
+    return lambda ws: models.score(_model(ws, name), ws.test).select("event_id", "label", "prediction", "score")
+
+
+def _evaluated(ws: Workspace) -> DataFrame:
+    def run() -> dict[str, tuple]:
+        return {n: models.accuracy_and_auc(_model(ws, n), ws.test) + _validated(ws, n) for n in models.NAMES}
+
+    return models.evaluation(ws.spark, ws.keep("evaluation", run))
+
+
+def _validated(ws: Workspace, name: str) -> tuple[float, float]:
+    return ws.keep(f"cv {name}", lambda: models.cross_validate(name, ws.train, SETTINGS))
+
+
+def _cross_validated(ws: Workspace) -> DataFrame:
+    mean, spread = _validated(ws, models.LOGISTIC)
+    return ws.spark.createDataFrame([(models.LOGISTIC, mean, spread)], "model string, cv_auc double, cv_std double")
+
+
+def _reloaded(ws: Workspace) -> DataFrame:
+    paths = models.save_models({models.LOGISTIC: _model(ws, models.LOGISTIC)}, stage_path(ws.spark, "models"))
+    loaded = models.load_models(paths)[models.LOGISTIC]
+    return models.score(loaded, ws.test).select("event_id", "label", "prediction", "score")
+
+
+def _by_completion(ws: Workspace) -> DataFrame:
+    """A score that needs no training: how much of the track was left unplayed."""
+    left = 1 - F.col("completion_score")
+    return ws.plays.select(
+        "event_id", F.col("is_skip").cast("int").alias("label"), left.alias("score"),
+        F.when(left > 0.5, 1).otherwise(0).alias("prediction"),
+    )
+
+
+def _assigned(ws: Workspace) -> DataFrame:
+    """Entity profiles with a given assignment: clusters by track number."""
+    number = F.substring_index("track_uri", ":", -1).cast("bigint")
+    return entities.entity_profile(ws.plays).withColumn("cluster", (number % 4).cast("int"))
+
+
+def _clustering(ws: Workspace) -> clusters.Clustering:
+    return ws.keep("clustering", lambda: clusters.cluster(entities.cluster_profile(ws.sessions), ks=(2, 3, 4), seeds=(42, 43)))
+
+
+def _written_json(ws: Workspace) -> DataFrame:
+    path = sinks.write_json(scores.binary_metrics(_by_completion(ws)), stage_path(ws.spark, "evaluation"))
+    return ws.spark.read.schema("accuracy double, auc double").json(path)
+
+
+def _explained(ws: Workspace) -> DataFrame:
+    """Explained variance of both components and the projected cluster centres."""
+    found = _clustering(ws)
+    _, model = clusters.pca2(found.scaled)
+    first, second = (float(v) for v in model.explainedVariance)
+    return clusters.centroids(ws.spark, found, model).withColumns({"explained_1": F.lit(first), "explained_2": F.lit(second)})
+
+
+LEARNING: dict[str, Query] = {
+    "ml1_skip_matrix": lambda ws: _rounded(matrix.skip_matrix(ws.features), 6, "rolling_5_skip_rate"),
+    "ml2_skip_matrix_basic": lambda ws: matrix.skip_matrix_basic(ws.plays),
+    "ml3_split": lambda ws: matrix.split(
+        ws.plays.select("event_id", F.col("is_skip").cast("int").alias("label"))
+    ),
+    "ml4_feature_stats": lambda ws: matrix.feature_stats(matrix.skip_matrix_basic(ws.plays)),
+    "ml5_random_forest": _trained(models.RANDOM_FOREST),
+    "ml6_logistic_regression": _trained(models.LOGISTIC),
+    "ml7_gradient_boosting": _trained(models.BOOSTING),
+    "ml8_class_weights": lambda ws: matrix.class_weights(ws.plays.select(F.col("is_skip").cast("int").alias("label"))),
+    "ml9_binary_metrics": lambda ws: scores.binary_metrics(_by_completion(ws)),
+    "ml10_cross_validate": _cross_validated,
+    "ml11_best_model": lambda ws: models.best_model(_evaluated(ws)),
+    "ml12_importances": lambda ws: models.importances(
+        ws.spark, _model(ws, models.RANDOM_FOREST), matrix.feature_names(ws.train)
+    ),
+    "ml13_confusion": lambda ws: scores.confusion(_by_completion(ws)),
+    "ml13_report": lambda ws: scores.report(_by_completion(ws)),
+    "ml14_roc": lambda ws: scores.roc(_by_completion(ws)),
+    "ml15_cluster_trials": lambda ws: _clustering(ws).trials,
+    "ml15_cluster": lambda ws: _clustering(ws).assigned.select("track_uri", "cluster"),
+    "ml16_cluster_profile_table": lambda ws: clusters.cluster_profile_table(_assigned(ws)),
+    "ml16_found_clusters": lambda ws: clusters.cluster_profile_table(_clustering(ws).assigned, clusters.SCRIPT_MEANS),
+    "ml17_pca": lambda ws: clusters.pca2(_clustering(ws).scaled)[0],
+    "ml17_centroids": _explained,
+    "ml18_score": lambda ws: models.score(_model(ws, models.BOOSTING), matrix.skip_matrix(ws.features)).select(
+        "event_id", "prediction", "score"
+    ),
+    "ml19_evaluation": _evaluated,
+    "ml20_cluster_insights": lambda ws: clusters.cluster_insights(clusters.cluster_profile_table(_assigned(ws))),
+    "rt6_cluster_labels": lambda ws: clusters.cluster_labels(clusters.cluster_profile_table(_assigned(ws))).select(
+        "cluster", "profile_name"
+    ),
+    "snk3_write_json": _written_json,
+    "snk4_save_models": _reloaded,
+}
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(ws: Workspace, table: DataFrame, name: str) -> DataFrame:
+    folder = sinks.write_stage(table, stage_path(ws.spark, name))
+    return jobs.read_stream(ws.spark, folder, table)
+
+
+_STREAMED = ("event_id", "user_id", "timestamp", "ms_played", "is_skip")
+
+STREAMS: dict[str, Query] = {
+    "xs1_stream_sessions": lambda ws: _rounded(jobs.run_to_table(
+        jobs.stream_sessions(_stream(ws, ws.plays.select(*_STREAMED), "stream_in"), gap="6 hours"), "stream_sessions"
+    ), 6, "minutes", "skip_rate"),
+    "xs2_stream_kpis": lambda ws: _rounded(jobs.run_to_table(
+        jobs.stream_kpis(_stream(ws, ws.plays.select(*_STREAMED), "stream_in")), "stream_kpis"
+    ), 6, "skip_rate", "hours"),
+    "xs2_stream_kpis_sliding": lambda ws: _rounded(jobs.run_to_table(
+        jobs.stream_kpis(_stream(ws, ws.plays.select(*_STREAMED), "stream_in"), "1 hour", "30 minutes"), "stream_kpis"
+    ), 6, "skip_rate", "hours"),
+    "xs3_stream_dedupe": lambda ws: jobs.run_to_table(
+        jobs.stream_dedupe(_stream(ws, cleaning.parse_ts(ws.dirty).select("event_id", "timestamp", "track_uri"), "stream_in")),
+        "stream_dedupe",
+    ),
+    "xs4_stream_score": lambda ws: jobs.run_to_table(
+        jobs.stream_score(
+            _stream(ws, matrix.skip_matrix(ws.features), "stream_in"), _model(ws, models.LOGISTIC)
+        ).select("event_id", "prediction", "score"),
+        "stream_score",
+    ),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    found = SOURCES | CLEANING | FEATURES | FILTERS | REPORTS | SESSIONS
+    found = SOURCES | CLEANING | FEATURES | FILTERS | REPORTS | SESSIONS | LEARNING | STREAMS
     return found | {name: _scalar(name) for name in SCALAR_NAMES}
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from earshot.learning.matrix import skip_matrix, split
 from earshot.operators import features, sessions
 from earshot.operators.ordered import OrderedLog, order_log
 from earshot.plans import feature_table
@@ -15,6 +18,7 @@ from earshot.sources import tables
 from earshot.sources.staging import stage
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], Any] = {}
 
 
 class Workspace:
@@ -31,6 +35,13 @@ class Workspace:
             _staged[key] = stage(make(), name)
         return _staged[key]
 
+    def keep(self, name: str, make: Callable[[], Any]) -> Any:
+        """Fitted models and the like, made once."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _kept:
+            _kept[key] = make()
+        return _kept[key]
+
     def _gap_name(self, name: str) -> str:
         return f"{name}_{int(self.gap.total_seconds())}s"
 
@@ -71,3 +82,16 @@ class Workspace:
     @property
     def log(self) -> OrderedLog:
         return OrderedLog(self._once("ordered_plays", lambda: order_log(self.plays).rows))
+
+    @property
+    def matrix(self) -> DataFrame:
+        """The skip matrix with ``is_test``."""
+        return self._once(self._gap_name("matrix"), lambda: split(skip_matrix(self.features)))
+
+    @property
+    def train(self) -> DataFrame:
+        return self.matrix.where(~F.col("is_test")).drop("is_test")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.matrix.where("is_test").drop("is_test")
