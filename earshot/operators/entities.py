@@ -90,11 +90,10 @@ def content_stats(plays: DataFrame) -> DataFrame:
     return track_stats(plays).join(artist_stats(plays), "artist_name").transform(popularity)
 
 
-def attach_content(plays: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Plays with track and artist numbers, counted over ``source`` (by default the same plays)."""
-    log = source if source is not None else plays
-    with_track = attach(plays, track_stats(log), ["track_name", "artist_name"], "track_stats")
-    return attach(with_track, artist_stats(log), ["artist_name"], "artist_stats").transform(popularity)
+def attach_content(plays: DataFrame) -> DataFrame:
+    """Plays with track and artist numbers and popularity classes."""
+    with_track = attach(plays, track_stats(plays), ["track_name", "artist_name"], "track_stats")
+    return attach(with_track, artist_stats(plays), ["artist_name"], "artist_stats").transform(popularity)
 
 
 def cluster_profile(sessions: DataFrame, entity: Sequence[str] = ENTITY, min_plays: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from earshot import constants as K
 from earshot.functions import numbers, times
 from earshot.operators.joins import attach
+from earshot.sources.staging import stage
 
 
 def add_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -120,20 +121,26 @@ def add_crosses(df: DataFrame) -> DataFrame:
     })
 
 
-def code_table(df: DataFrame, col: str) -> DataFrame:
-    """Each value of a category with its position in sorted order, from 0. The window runs over
-    distinct values, never over events."""
-    values = df.where(F.col(col).isNotNull()).select(col).distinct()
-    code = F.row_number().over(Window.orderBy(col)) - 1
-    return values.select(col, code.alias(f"{col}_encoded"))
+def code_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, code): each value's position in its column's sorted order, from 0.
 
+    One pass for all columns; the window runs over distinct values, never over events.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+    values = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
 
-def encode_sorted(df: DataFrame, cols: Sequence[str], source: DataFrame | None = None) -> DataFrame:
-    """Adds ``<col>_encoded``, null as -1; codes come from ``source`` (by default the same rows)."""
-    log = source if source is not None else df
+
+def attach_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Adds ``<col>_encoded`` from a staged code table, null as -1."""
     for c in cols:
-        df = attach(df, code_table(log, c), [c], f"codes_{c}").na.fill(-1, subset=[f"{c}_encoded"])
-    return df
+        own = codes.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_encoded"))
+        df = df.join(own, c, "left")
+    return df.na.fill(-1, subset=[f"{c}_encoded" for c in cols])
+
+
+def encode_sorted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return attach_codes(df, stage(code_table(df, cols), "codes"), cols)
 
 
 def add_nonlinear(df: DataFrame) -> DataFrame:
@@ -178,8 +185,9 @@ def temporal(df: DataFrame) -> DataFrame:
     return df
 
 
-def behaviour(df: DataFrame) -> DataFrame:
-    """Needs ``estimated_track_length_ms``."""
+def add_behaviour(df: DataFrame) -> DataFrame:
+    """Everything that follows from play time and ``estimated_track_length_ms``."""
+    df = df.withColumn("track_length_seconds", F.col("estimated_track_length_ms") / 1e3)
     for step in (add_durations, add_percent_played, add_length_bin, add_is_skip, add_quality, add_engagement):
         df = df.transform(step)
     return df
@@ -187,4 +195,4 @@ def behaviour(df: DataFrame) -> DataFrame:
 
 def wide_plays(df: DataFrame) -> DataFrame:
     """The table every report reads: a cleaned log with calendar and behaviour columns."""
-    return df.transform(add_max_length).transform(behaviour).transform(temporal)
+    return df.transform(add_max_length).transform(add_behaviour).transform(temporal)

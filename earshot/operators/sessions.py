@@ -9,7 +9,7 @@ partially aggregated and then joined to a small map: the log is never sorted for
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,7 @@ from earshot.sources.staging import stage
 
 GAP = timedelta(minutes=K.SESSION_GAP_MINUTES)
 SPAN_BUCKETS = 4096
+BROADCAST_ROWS = 500_000
 
 
 def _gap_micros(gap: timedelta) -> int:
@@ -36,29 +37,39 @@ def time_bucket(ts: str, gap: timedelta) -> Column:
     return F.expr(f"(unix_micros(`{ts}`) - pmod(unix_micros(`{ts}`), {width}L)) div {width}L")
 
 
-def session_map(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
-    """(keys, bucket) -> session_id, with the play that opens the bucket; ids count from 1 per key."""
-    buckets = (
+def session_buckets(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
+    """First and last time of each (keys, bucket), and the play that opens it; combined before the shuffle."""
+    return (
         events.groupBy(*keys, time_bucket(ts, gap).alias("_bucket"))
         .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.min(F.struct(ts, tiebreak)).alias("_opener"))
         .withColumn("_opener", F.col(f"_opener.{tiebreak}"))
     )
+
+
+def session_map(buckets: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, bucket) -> session_id; ids count from 1, per key if there are keys.
+
+    ``buckets`` should be staged: it is read more than once and its size is checked. Broadcast up
+    to ``BROADCAST_ROWS``; a larger map is numbered in two levels and staged for a sized join.
+    """
     width = _gap_micros(gap)
 
     def starts(prev: Column) -> Column:
         return F.when(prev.isNull() | (micros_between(prev, F.col("_first")) > width), 1).otherwise(0)
 
-    if keys:
-        # per key, at most one row per bucket of the calendar span
+    small = buckets.count() <= BROADCAST_ROWS
+    if keys or small:
+        # per key, and over the whole log when checked small, at most one row per bucket of the span
         w = Window.partitionBy(*keys).orderBy("_bucket")
         marked = buckets.withColumn("_starts", starts(F.lag("_last").over(w)))
         numbered = marked.withColumn("session_id", F.sum("_starts").over(w))
     else:
-        numbered = _number_globally(stage(buckets, "session_buckets"), starts)
-    return numbered.select(*keys, "_bucket", "_opener", "_starts", F.col("session_id").cast("bigint").alias("session_id"))
+        numbered = _number_in_spans(buckets, starts)
+    mapped = numbered.select(*keys, "_bucket", "_opener", "_starts", F.col("session_id").cast("bigint").alias("session_id"))
+    return F.broadcast(mapped) if small else stage(mapped, "session_map")
 
 
-def _number_globally(buckets: DataFrame, starts) -> DataFrame:
+def _number_in_spans(buckets: DataFrame, starts: Callable[[Column], Column]) -> DataFrame:
     """Lag and running count over buckets in two levels, so no task sees more than one span."""
     buckets = buckets.withColumn("_span", F.expr(f"_bucket div {SPAN_BUCKETS}"))
     local = Window.partitionBy("_span").orderBy("_bucket")
@@ -73,14 +84,19 @@ def _number_globally(buckets: DataFrame, starts) -> DataFrame:
     return marked.join(offsets, "_span").withColumn("session_id", F.col("_before") + F.sum("_starts").over(local))
 
 
-def assign_sessions(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
-    """Adds ``session_id`` and ``is_session_start`` by a join to the bucket map."""
-    bucketed = events.withColumn("_bucket", time_bucket(ts, gap))
-    joined = attach(bucketed, session_map(events, gap, keys, ts, tiebreak), [*keys, "_bucket"], "session_map", how="inner")
+def join_sessions(events: DataFrame, mapped: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
+    """Adds ``session_id`` and ``is_session_start`` from a bucket map."""
+    joined = events.withColumn("_bucket", time_bucket(ts, gap)).join(mapped, [*keys, "_bucket"])
     opens = (F.col("_starts") == 1) & (F.col(tiebreak) == F.col("_opener"))
     return joined.withColumn("is_session_start", opens).drop("_bucket", "_opener", "_starts")
 
 
+def assign_sessions(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
+    """Adds ``session_id`` and ``is_session_start``."""
+    buckets = stage(session_buckets(events, gap, keys, ts, tiebreak), "session_buckets")
+    return join_sessions(events, session_map(buckets, gap, keys), gap, keys, ts, tiebreak)
+
+
 def sessionize(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id", chunk_rows: int | None = None) -> DataFrame:
     """Previous time, seconds since it, start flag and session id on every play."""
     log = order_log(events, (ts, tiebreak), keys, chunk_rows)
@@ -198,13 +214,18 @@ def session_stats(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_feature_table(sessions: DataFrame) -> DataFrame:
-    """Per-session features for models; rates are rounded before the quality thresholds."""
+def session_feature_table(sessions: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
+    """Per-session features for models; rates are rounded before the quality thresholds.
+
+    ``extra`` aggregates join the same pass.
+    """
     grouped = sessions.groupBy("session_id").agg(
         *_times(),
+        *extra,
         round_half_even(F.avg(flag(F.col("is_skip"))), 3).alias("session_skip_rate"),
         round_half_even(exact_mean(F.col("engagement_score")), 3).alias("session_avg_engagement"),
     )
+    known = ("session_id", "session_start", "session_end", "n", "session_skip_rate", "session_avg_engagement")
     n, skip, engaged = F.col("n"), F.col("session_skip_rate"), F.col("session_avg_engagement")
     quality = (
         F.when((n >= 10) & (skip <= 0.3) & (engaged >= 0.7), "High")
@@ -218,6 +239,7 @@ def session_feature_table(sessions: DataFrame) -> DataFrame:
         "session_avg_engagement",
         round_half_even(minutes_between(F.col("session_start"), F.col("session_end")), 1).alias("session_duration_minutes"),
         quality.alias("session_quality"),
+        *[c for c in grouped.columns if c not in known],
     )
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from earshot.constants import TS_FORMAT
 from earshot.functions.times import micros_between
 from earshot.operators import entities, features, ordered, sessions
-from earshot.operators.joins import attach
-from earshot.sources.staging import stage
+from earshot.sources.staging import stage_all
 
 # Column order of the result, by group.
 CLEANED = (
@@ -49,25 +48,34 @@ MODEL = (
 ALL = CLEANED + TEMPORAL + BEHAVIOUR + ENTITY + CONTENT + SESSION + CONTEXT + MODEL
 
 
-def session_side(plays: DataFrame) -> DataFrame:
-    """Everything known per session, artist diversity and first row included, as one table."""
-    diversity = plays.groupBy("session_id").agg(
-        F.countDistinct("artist_name").alias("artist_diversity_in_session"), F.min("row_index").alias("_first_index")
-    )
-    return sessions.session_feature_table(plays).join(diversity, "session_id")
-
-
 def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = False, chunk_rows: int | None = None) -> DataFrame:
     """``plays`` is a cleaned log with an ``event_id`` tie-break.
 
-    One range shuffle orders the narrow log; its lags and rolling means come from one chunked
-    pass. All grouped tables are staged and joined by key, so nothing else is sorted.
+    One range shuffle orders the narrow log. Grouped tables read it back with only their columns,
+    as concurrent jobs, and are staged so that the final joins know their sizes. The final pass
+    takes lags and rolling means per chunk and joins the tables: events are sorted once.
     ``leak_free`` keeps the current play out of the rolling means.
     """
-    narrow = plays.transform(features.add_max_length)
-    for step in (features.add_percent_played, features.add_is_skip):
-        narrow = narrow.transform(step)
+    small = stage_all({
+        "track_lengths": features.longest_plays(plays),
+        "session_buckets": sessions.session_buckets(plays, gap),
+    })
+    narrow = features.add_behaviour(plays.join(small["track_lengths"], "track_uri", "left"))
     log = ordered.order_log(narrow, chunk_rows=chunk_rows)
+    bucket_map = sessions.session_map(small["session_buckets"], gap)
+
+    known = sessions.join_sessions(features.add_time_of_day(features.add_calendar(log.rows)), bucket_map, gap)
+    first_index = F.min("row_index").alias("_first_index")
+    artists = F.countDistinct("artist_name").alias("artist_diversity_in_session")
+    encoded = ["platform", "time_of_day", "listening_quality"]
+    side = stage_all({
+        "entity_features": entities.entity_features(known),
+        "track_stats": entities.track_stats(known),
+        "artist_stats": entities.artist_stats(known),
+        "session_features": sessions.session_feature_table(known, [first_index, artists]),
+        "codes": features.code_table(known, encoded),
+    })
+
     skip = F.when(F.col("is_skip"), 1.0).otherwise(0.0)
     seen = log.history(
         {
@@ -80,19 +88,18 @@ def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = Fal
         },
         reach=5 if leak_free else 4,
     )
-    timed = ordered.fill_previous(seen).withColumn(
-        "time_since_previous", micros_between(F.col("prev_timestamp"), F.col("timestamp")) / 1e6
+    out = (
+        sessions.join_sessions(features.temporal(ordered.fill_previous(seen)), bucket_map, gap)
+        .join(side["entity_features"], "track_uri", "left")
+        .join(side["track_stats"], ["track_name", "artist_name"], "left")
+        .join(side["artist_stats"], "artist_name", "left")
+        .join(side["session_features"], "session_id", "left")
     )
-    rows = timed.transform(features.behaviour).transform(features.temporal)
-    with_ids = sessions.assign_sessions(rows, gap)
-    base = stage(with_ids, "feature_base")
-
-    out = attach(base, entities.entity_features(base), ["track_uri"], "entity_features")
-    out = entities.attach_content(out, base)
-    out = attach(out, session_side(base), ["session_id"], "session_side")
-    out = out.withColumn(
-        "track_position_in_session", (F.col("row_index") - F.col("_first_index") + 1).cast("int")
-    ).withColumn("ts", F.date_format("timestamp", TS_FORMAT))
+    out = entities.popularity(features.attach_codes(out, side["codes"], encoded)).withColumns({
+        "time_since_previous": micros_between(F.col("prev_timestamp"), F.col("timestamp")) / 1e6,
+        "track_position_in_session": (F.col("row_index") - F.col("_first_index") + 1).cast("int"),
+        "ts": F.date_format("timestamp", TS_FORMAT),
+    })
     for step in (features.add_reason_flags, features.add_session_size_flags, features.add_crosses, features.add_nonlinear):
         out = out.transform(step)
-    return features.encode_sorted(out, ["platform", "time_of_day", "listening_quality"], base).select("event_id", *ALL)
+    return out.select("event_id", *ALL)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage independent tables as concurrent jobs, so that small ones do not wait for each other."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        jobs = {name: pool.submit(stage, df, name) for name, df in tables.items()}
+    return {name: job.result() for name, job in jobs.items()}
