@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.numbers import flag, ratio, round_half_up
+from earshot.operators.joins import one_row
 from earshot.operators.ordered import order_log
 from earshot.sources.staging import stage
 
@@ -30,21 +31,18 @@ def binary_metrics(scored: DataFrame, digits: int = 6) -> DataFrame:
     """Accuracy and ROC AUC by rank sums, ties counted half."""
     pos, neg, upto = (F.col(c).cast("double") for c in ("pos", "neg", "neg_upto"))
     wins = F.sum(pos * (upto - neg + neg / 2))
-    auc = _cumulated(scored).agg(ratio(wins, F.sum(pos) * F.sum(neg)).alias("auc"), F.lit(1).alias("_one"))
-    right = scored.agg(F.avg(flag(F.col("label") == F.col("prediction"))).alias("accuracy"), F.lit(1).alias("_one"))
-    return right.join(F.broadcast(auc), "_one").select(
-        round_half_up(F.col("accuracy"), digits).alias("accuracy"), round_half_up(F.col("auc"), digits).alias("auc")
-    )
+    auc = _cumulated(scored).agg(round_half_up(ratio(wins, F.sum(pos) * F.sum(neg)), digits).alias("auc"))
+    right = scored.agg(F.avg(flag(F.col("label") == F.col("prediction"))).alias("accuracy"))
+    return right.select(round_half_up(F.col("accuracy"), digits).alias("accuracy"), auc.scalar().alias("auc"))
 
 
 def roc(scored: DataFrame, digits: int = 6) -> DataFrame:
     """One point per distinct score: rates when everything from that score up counts as positive."""
     table = stage(_cumulated(scored), "roc")
-    totals = table.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.lit(1).alias("_one"))
-    joined = table.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")
-    fpr = (F.col("_n") - F.col("neg_upto") + F.col("neg")) / F.col("_n")
-    tpr = (F.col("_p") - F.col("pos_upto") + F.col("pos")) / F.col("_p")
-    return joined.select(
+    totals = one_row(table.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+    fpr = (totals["n"] - F.col("neg_upto") + F.col("neg")) / totals["n"]
+    tpr = (totals["p"] - F.col("pos_upto") + F.col("pos")) / totals["p"]
+    return table.select(
         F.col("score").alias("threshold"), round_half_up(fpr, digits).alias("fpr"), round_half_up(tpr, digits).alias("tpr")
     )
 

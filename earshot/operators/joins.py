@@ -25,25 +25,20 @@ def with_columns(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     return df.withColumns(exprs)
 
 
+def one_row(table: DataFrame) -> Column:
+    """A one-row table (a global aggregate, say) as a struct column: a scalar subquery, not a join."""
+    return table.select(F.struct(*table.columns)).scalar()
+
+
 def share_of_total(table: DataFrame, value: str, name: str, within: Sequence[str] = ()) -> DataFrame:
     """``value`` as a percent of its total, overall or within groups, on an already grouped table."""
     totals = table.groupBy(*within).agg(F.sum(value).alias("_total"))
-    joined = _with_totals(table, totals, within)
-    return joined.withColumn(name, F.col(value) * 1e2 / F.col("_total")).drop("_total")
+    if within:
+        return table.join(totals, list(within)).withColumn(name, F.col(value) * 1e2 / F.col("_total")).drop("_total")
+    return table.withColumn(name, F.col(value) * 1e2 / totals.scalar())
 
 
 def normalise_by_max(table: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Adds ``<col>_norm`` = col / max(col) over a grouped table."""
-    top = table.agg(*[F.max(c).alias(f"_max_{c}") for c in cols])
-    joined = _with_totals(table, top, ())
-    return joined.withColumns({f"{c}_norm": F.col(c) / F.col(f"_max_{c}") for c in cols}).drop(
-        *[f"_max_{c}" for c in cols]
-    )
-
-
-def _with_totals(table: DataFrame, totals: DataFrame, within: Sequence[str]) -> DataFrame:
-    if within:
-        return table.join(totals, list(within))
-    # a global aggregate is one row, so its broadcast never grows
-    keyed = totals.withColumn("_one", F.lit(1))
-    return table.withColumn("_one", F.lit(1)).join(F.broadcast(keyed), "_one").drop("_one")
+    top = one_row(table.agg(*[F.max(c).alias(c) for c in cols]))
+    return table.withColumns({f"{c}_norm": F.col(c) / top[c] for c in cols})

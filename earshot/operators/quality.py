@@ -14,6 +14,7 @@ from earshot.functions.numbers import round_half_up
 from earshot.functions.texts import one_decimal_text, whole_text
 from earshot.functions.times import whole_days_between
 from earshot.operators import cleaning
+from earshot.operators.joins import one_row
 
 
 def unpivot_row(row: DataFrame, values: dict[str, Column], name: str, value: str) -> DataFrame:
@@ -88,18 +89,12 @@ def quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> DataFr
 
 def iqr_outliers(df: DataFrame, col: str = "ms_played", k: float = 1.5) -> DataFrame:
     """Quartiles, fences and how many values lie outside; counts only, nothing is changed."""
-    counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    q = quantiles(df, col, (0.25, 0.75)).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    fences = q.withColumn("lo", F.col("q1") - (F.col("q3") - F.col("q1")) * k).withColumn(
-        "hi", F.col("q3") + (F.col("q3") - F.col("q1")) * k
-    )
-    # one row of fences, joined to one row per distinct value
-    outside = (F.col(col) < F.col("lo")) | (F.col(col) > F.col("hi"))
-    return (
-        counted.withColumn("one", F.lit(1))
-        .join(F.broadcast(fences.withColumn("one", F.lit(1))), "one")
-        .groupBy("q1", "q3", "lo", "hi")
-        .agg(F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("n_outliers"))
+    quartiles = one_row(quantiles(df, col, (0.25, 0.75)))["q"]
+    q1, q3 = quartiles[0], quartiles[1]
+    lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
+    outside = F.count_if((F.col(col) < lo) | (F.col(col) > hi))
+    return df.agg(outside.alias("n_outliers")).select(
+        q1.alias("q1"), q3.alias("q3"), lo.alias("lo"), hi.alias("hi"), "n_outliers"
     )
 
 

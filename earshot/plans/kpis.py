@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from earshot import constants as K
 from earshot.functions.numbers import exact_mean, flag, round_half_up
 from earshot.functions.texts import grouped_text, one_decimal_text, percent_text, whole_text
+from earshot.operators.joins import one_row
 from earshot.operators.quality import unpivot_row
 from earshot.operators.trends import peaks
 from earshot.plans import measures as m
 from earshot.plans.platforms import platform_engagement
 
 
-def _one_row(*tables: DataFrame) -> DataFrame:
+def _beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     """One-row tables side by side."""
-    first, *rest = [t.withColumn("_one", F.lit(1)) for t in tables]
-    for t in rest:
-        first = first.join(F.broadcast(t), "_one")
-    return first.drop("_one")
+    for other in others:
+        values = one_row(other)
+        first = first.withColumns({c: values[c] for c in other.columns})
+    return first
 
 
 def _totals(plays: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def eda_kpis(plays: DataFrame, stats: DataFrame) -> DataFrame:
         "Avg Percent Played": percent_text(round_half_up(F.col("pct"), 1)),
         "Platform Distribution": shares,
     }
-    return unpivot_row(_one_row(_totals(plays), per_session), values, "metric", "value")
+    return unpivot_row(_beside(_totals(plays), per_session), values, "metric", "value")
 
 
 def executive_summary(plays: DataFrame, scored: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def executive_summary(plays: DataFrame, scored: DataFrame) -> DataFrame:
         "High Quality Sessions": percent_text(round_half_up(F.col("high"), 1)),
         "Content Catalog": F.concat(grouped_text(F.col("tracks")), F.lit(" tracks")),
     }
-    return unpivot_row(_one_row(_totals(plays), per_session, peak, best), values, "metric", "value")
+    return unpivot_row(_beside(_totals(plays), per_session, peak, best), values, "metric", "value")
 
 
 def insights(plays: DataFrame, scored: DataFrame, retention: DataFrame, churn: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def insights(plays: DataFrame, scored: DataFrame, retention: DataFrame, churn: D
         (F.avg(flag(F.col("session_quality_score") < 33)) * 1e2).alias("low_pct"),
         F.avg("session_duration_minutes").alias("length"),
     )
-    row = _one_row(totals, worst_time, worst_platform, by_hour, engagement, quality,
+    row = _beside(totals, worst_time, worst_platform, by_hour, engagement, quality,
                    retention.select("retention_rate"), churn.select("trend"))
 
     def decimal(x: Column, digits: int = 4) -> Column:

@@ -12,7 +12,7 @@ from earshot import constants as K
 from earshot.functions import numbers, texts, times
 from earshot.learning import clusters, matrix, models, scores
 from earshot.operators import cleaning, entities, features, joins, ordered, pivots, quality, sessions, trends
-from earshot.plans import activity, content, kpis, platforms, retention, segments, session_reports, skips
+from earshot.plans import activity, content, kpis, platforms, retention, runs, segments, session_reports, skips
 from earshot.plans import measures as m
 from earshot.plans.workspace import Workspace
 from earshot.sources import plays as readers
@@ -47,7 +47,7 @@ def _read_stage(ws: Workspace) -> DataFrame:
 
 def _write_stage(ws: Workspace) -> DataFrame:
     table = ws.plays.select("event_id", "date", "platform", "ms_played", "is_skip", "listening_quality")
-    path = sinks.write_stage(table.repartition("date"), stage_path(ws.spark, "by_date"), partition_by=["date"])
+    path = sinks.write_stage(runs.by_date(table), stage_path(ws.spark, "by_date"), partition_by=["date"])
     return readers.read_stage(ws.spark, path)
 
 

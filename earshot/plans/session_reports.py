@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from earshot.functions.numbers import equal_width_bin, exact_mean, flag, round_half_up, round_signed
 from earshot.operators import sessions as S
 from earshot.operators import trends
-from earshot.operators.joins import share_of_total
+from earshot.operators.joins import one_row, share_of_total
 from earshot.operators.quality import quantiles
 from earshot.plans import measures as m
 
@@ -130,12 +130,9 @@ def session_summary(stats: DataFrame) -> DataFrame:
         _avg("session_duration_minutes", 4).alias("avg_duration"),
         round_half_up(F.avg("skip_rate"), 4).alias("avg_skip_rate"),
         round_half_up(F.count("*") / F.countDistinct(F.to_date("session_start")), 4).alias("daily_sessions"),
-        F.lit(1).alias("_one"),
     )
-    for c, name in (("session_duration_minutes", "median_duration"), ("tracks_count", "median_tracks"), ("skip_rate", "median_skip_rate")):
-        median = quantiles(stats, c, (0.5,)).select(F.col("q")[0].alias(name), F.lit(1).alias("_one"))
-        row = row.join(F.broadcast(median), "_one")
-    return row.drop("_one")
+    medians = {"median_duration": "session_duration_minutes", "median_tracks": "tracks_count", "median_skip_rate": "skip_rate"}
+    return row.withColumns({name: one_row(quantiles(stats, c, (0.5,)))["q"][0] for name, c in medians.items()})
 
 
 def score_shares(scored: DataFrame) -> DataFrame:
@@ -151,21 +148,18 @@ def score_by_platform(scored: DataFrame) -> DataFrame:
 def histogram(table: DataFrame, col: str, bins: int) -> DataFrame:
     """Counts in equal-width bins from the smallest to the largest value, empty bins included."""
     x = F.col(col).cast("double")
-    edges = table.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")).withColumn("_one", F.lit(1))
-    # the edges are one row and the bins a fixed number of rows
+    edges = one_row(table.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
     counted = (
         table.where(x.isNotNull())
-        .select(x.alias("_x"), F.lit(1).alias("_one"))
-        .join(F.broadcast(edges), "_one")
-        .groupBy(equal_width_bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+        .withColumn("bin", equal_width_bin(x, edges["lo"], edges["hi"], bins))
+        .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
-    width = (F.col("_hi") - F.col("_lo")) / float(bins)
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
-    grid = edges.select(F.explode(numbers).alias("bin"), "_lo", "_hi").select(
-        "bin",
-        round_signed(F.col("_lo") + width * F.col("bin"), 6).alias("lo"),
-        round_signed(F.col("_lo") + width * (F.col("bin") + 1), 6).alias("hi"),
+    width = (edges["hi"] - edges["lo"]) / float(bins)
+    grid = table.sparkSession.range(bins).select(
+        F.col("id").alias("bin"),
+        round_signed(edges["lo"] + width * F.col("id"), 6).alias("lo"),
+        round_signed(edges["lo"] + width * (F.col("id") + 1), 6).alias("hi"),
     )
     return grid.join(counted, "bin", "left").na.fill(0, subset=["n"]).orderBy("bin")
 
