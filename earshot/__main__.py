@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from earshot.constants import SESSION_GAP_MINUTES
 from earshot.plans import runs
+from earshot.sources.staging import drop_staged
 
 
 def main() -> None:
@@ -27,6 +28,7 @@ def main() -> None:
         paths = runs.feature_run(spark, args.source, args.out, timedelta(minutes=args.gap_minutes), args.leak_free)
     else:
         paths = runs.model_run(spark, args.source, args.out)
+    drop_staged(spark)
     print(json.dumps(paths, indent=2))
     spark.stop()
 

@@ -13,6 +13,8 @@ from earshot.functions import numbers, times
 from earshot.operators.joins import attach
 from earshot.sources.staging import stage
 
+MAX_CATEGORIES = 1000
+
 
 def add_calendar(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     t = F.col(ts)
@@ -153,8 +155,10 @@ def add_nonlinear(df: DataFrame) -> DataFrame:
 def top_categories(df: DataFrame, col: str, k: int | None = None) -> list[str]:
     """Values of a category, most frequent first; a list because each becomes a column."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    ordered = counts.orderBy(F.desc("n"), col)
-    return [row[0] for row in (ordered.limit(k) if k else ordered).select(col).collect()]
+    found = counts.orderBy(F.desc("n"), col).limit(k or MAX_CATEGORIES + 1).select(col).collect()
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"{col} has more than {MAX_CATEGORIES} values: too many for one column each")
+    return [row[0] for row in found]
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence[str] | None = None, top_k: int | None = None) -> DataFrame:

@@ -79,13 +79,14 @@ class OrderedLog:
 
 def order_log(df: DataFrame, order_by: Sequence[str] = LOG_ORDER, keys: Sequence[str] = (), chunk_rows: int | None = None, partitions: int | None = None) -> OrderedLog:
     """Sort once, number the rows, stage the result."""
-    tasks = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order_by]
     part = F.spark_partition_id()
     position = F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)
-    ranged = df.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
-    staged = stage(ranged.withColumns({"_part": part, "_position": position}), "ordered")
-    # one row per range partition: at most `tasks` rows
+    # without a number adaptive execution may merge neighbouring ranges, never reorder them
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    numbered = ranged.sortWithinPartitions(*by).withColumns({"_part": part, "_position": position})
+    staged = stage(numbered, "ordered")
+    # one row per range partition: at most spark.sql.shuffle.partitions rows
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged.groupBy("_part").agg(F.count("*").alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")

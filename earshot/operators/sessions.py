@@ -105,12 +105,15 @@ def sessionize(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = ()
     return assign_sessions(timed.drop("row_index"), gap, keys, ts, tiebreak)
 
 
-def position(sessions: DataFrame, tiebreak: str = "event_id", first: int | None = None) -> DataFrame:
-    """``track_position_in_session`` from 1. With ``first`` only that many plays per session are
-    kept, and Spark prunes each partition to them before the shuffle."""
+def position(sessions: DataFrame, first: int, tiebreak: str = "event_id") -> DataFrame:
+    """The first plays of each session with ``track_position_in_session`` from 1.
+
+    The limit lets Spark cut each partition before the shuffle, so a long session costs nothing.
+    For every play's position use ``position_from_index``.
+    """
     w = Window.partitionBy("session_id").orderBy("timestamp", tiebreak)
     placed = sessions.withColumn("track_position_in_session", F.row_number().over(w))
-    return placed.where(F.col("track_position_in_session") <= first) if first else placed
+    return placed.where(F.col("track_position_in_session") <= first)
 
 
 def position_from_index(indexed: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def skip_risk(plays: DataFrame, k: int = 1000, entity: str = "track_uri", tiebre
     Top-k comes before the joins: they keep every play, so only ``k`` rows are joined.
     """
     latest = stage(plays.orderBy(F.desc("timestamp"), F.desc(tiebreak)).limit(k), "latest_plays")
-    wanted = latest.select("track_uri").distinct()  # at most k rows
-    relevant = plays.join(F.broadcast(wanted), "track_uri", "left_semi")
+    # the staged rows have a known size, so Spark decides whether to broadcast them
+    relevant = plays.join(latest.select("track_uri"), "track_uri", "left_semi")
     source = relevant if entity == "track_uri" else plays
     return with_risk(with_history_stats(latest, entity, source)).orderBy(F.desc("timestamp"), F.desc(tiebreak))

@@ -66,7 +66,7 @@ def session_time_report(metrics: DataFrame) -> DataFrame:
 
 def session_journey(sessions: DataFrame, first: int = 10, tiebreak: str = "event_id") -> DataFrame:
     """How plays go by position in the session, for the first positions."""
-    table = S.position(sessions, tiebreak, first).groupBy(F.col("track_position_in_session").alias("track_position")).agg(
+    table = S.position(sessions, first, tiebreak).groupBy(F.col("track_position_in_session").alias("track_position")).agg(
         F.count("*").alias("total_occurrences"),
         m.skip_pct().alias("skip_rate_by_position"),
         m.completion().alias("avg_completion_by_position"),
