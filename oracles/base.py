@@ -86,9 +86,10 @@ plays AS (
       WHEN estimated_track_length_ms <= 300000 THEN '4-5min' ELSE '5min+' END AS track_length_category,
     percent_played / 1e2 AS completion_score,
     percent_played / 1e2 * 0.6e0 + (CASE WHEN is_skip THEN 0e0 ELSE 1e0 END) * 0.4e0 AS engagement_score,
-    hour("timestamp") AS hour_of_day, dayname("timestamp") AS day_of_week, isodow("timestamp") - 1 AS day_of_week_num,
-    month("timestamp") AS month, year("timestamp") AS year, CAST("timestamp" AS DATE) AS date,
-    week("timestamp") AS week_of_year, isodow("timestamp") >= 6 AS is_weekend, isodow("timestamp") <= 5 AS is_workday,
+    CAST(hour("timestamp") AS INTEGER) AS hour_of_day, dayname("timestamp") AS day_of_week,
+    CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week_num, CAST(month("timestamp") AS INTEGER) AS month,
+    CAST(year("timestamp") AS INTEGER) AS year, CAST("timestamp" AS DATE) AS date,
+    CAST(week("timestamp") AS INTEGER) AS week_of_year, isodow("timestamp") >= 6 AS is_weekend, isodow("timestamp") <= 5 AS is_workday,
     {DAY_PART.format(h='hour("timestamp")')} AS time_of_day,
     hour("timestamp") IN (17, 18, 19, 20) AS is_peak_hour, hour("timestamp") IN (7, 8, 9) AS is_morning_commute,
     hour("timestamp") IN (17, 18, 19) AS is_evening_commute,
@@ -117,7 +118,7 @@ metrics AS (
     {SECONDS} AS avg_track_duration, {SKIP_PCT} AS session_skip_rate, {PCT} AS avg_percent_played,
     {r(f'{MS} * 1e5 / nullif({SPAN_US}, 0)')} AS listening_efficiency,
     mode() WITHIN GROUP (ORDER BY platform) AS primary_platform, {r(f'avg({SHUF}) * 1e2')} AS shuffle_usage_pct,
-    hour(min("timestamp")) AS session_start_hour, dayofweek(min("timestamp")) AS session_start_dow,
+    CAST(hour(min("timestamp")) AS INTEGER) AS session_start_hour, CAST(dayofweek(min("timestamp")) AS INTEGER) AS session_start_dow,
     {DAY_PART.format(h='hour(min("timestamp"))')} AS session_time_period,
     CASE WHEN count(*) >= 10 AND {xavg('percent_played')} >= 70 AND avg({SKIP}) <= 0.3e0 THEN 'High Quality'
       WHEN count(*) >= 5 AND {xavg('percent_played')} >= 50 AND avg({SKIP}) <= 0.5e0 THEN 'Medium Quality'

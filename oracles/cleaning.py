@@ -14,7 +14,7 @@ _PROFILE = " UNION ALL ".join(
 _CARDINALITY = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM dirty" for c in _RAW_LIST)
 _TOP = " UNION ALL ".join(
     f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value, count(*) AS n,
- row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank FROM dirty WHERE {c} IS NOT NULL GROUP BY {c}
+ CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank FROM dirty WHERE {c} IS NOT NULL GROUP BY {c}
  QUALIFY (SELECT count(DISTINCT {c}) FROM dirty) < 20 AND row_number() OVER (ORDER BY count(*) DESC, {c}) <= 5)"""
     for c in _RAW_LIST
 )

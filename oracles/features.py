@@ -49,7 +49,7 @@ features AS (
     session_track_count, session_skip_rate, session_avg_engagement, session_duration_minutes,
     CASE WHEN session_track_count >= 10 AND session_skip_rate <= 0.3e0 AND session_avg_engagement >= 0.7e0 THEN 'High'
       WHEN session_track_count >= 5 AND session_skip_rate <= 0.5e0 THEN 'Medium' ELSE 'Low' END AS session_quality,
-    row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", event_id) AS track_position_in_session,
+    CAST(row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", event_id) AS INTEGER) AS track_position_in_session,
     lag(platform) {_W} AS prev_platform, coalesce(platform <> lag(platform) {_W}, true) AS platform_switch,
     reason_start = 'autoplay' AS is_autoplay, reason_start IN ('clickrow', 'playbtn') AS is_manual_start,
     reason_end IN ('nextbtn', 'backbtn') AS is_manual_skip, reason_end = 'trackdone' AS is_natural_end,
@@ -58,8 +58,8 @@ features AS (
     concat(CASE WHEN is_weekend THEN 'True' ELSE 'False' END, '_', platform) AS weekend_platform_interaction,
     coalesce(lag(is_skip) {_W}, false) AS prev_track_skip, coalesce(lag(percent_played) {_W}, 0e0) AS prev_track_completion,
     {r(f'avg({SKIP}) {_ROLL}', 6)} AS rolling_5_skip_rate, {r(f'avg(percent_played) {_ROLL}', 6)} AS rolling_5_avg_completion,
-    dense_rank() OVER (ORDER BY platform) - 1 AS platform_encoded, dense_rank() OVER (ORDER BY time_of_day) - 1 AS time_of_day_encoded,
-    dense_rank() OVER (ORDER BY listening_quality) - 1 AS listening_quality_encoded,
+    CAST(dense_rank() OVER (ORDER BY platform) - 1 AS INTEGER) AS platform_encoded, CAST(dense_rank() OVER (ORDER BY time_of_day) - 1 AS INTEGER) AS time_of_day_encoded,
+    CAST(dense_rank() OVER (ORDER BY listening_quality) - 1 AS INTEGER) AS listening_quality_encoded,
     percent_played * percent_played AS completion_squared, {r('ln(1 + track_length_seconds)', 6)} AS track_length_log
   FROM joined)"""
 
@@ -83,10 +83,10 @@ SCALARS = {
     "sf7_guarded_division": "ms_played * 1e0 / nullif(hour_of_day, 0)",
     "sf8_parse_timestamp": "try_strptime(CASE WHEN event_id % 7 = 0 THEN '31-02-2024 10:00' ELSE strftime(\"timestamp\", '%d-%m-%Y %H:%M') END, '%d-%m-%Y %H:%M')",
     "sf9_format_timestamp": "strftime(\"timestamp\", '%Y-%m-%d %H:%M')",
-    "sf10_hour": 'hour("timestamp")',
-    "sf11_weekday_numbers": '(isodow("timestamp") - 1) * 10 + dayofweek("timestamp")',
+    "sf10_hour": 'CAST(hour("timestamp") AS INTEGER)',
+    "sf11_weekday_numbers": 'CAST((isodow("timestamp") - 1) * 10 + dayofweek("timestamp") AS INTEGER)',
     "sf12_weekday_name": 'dayname("timestamp")',
-    "sf13_week_month_year": 'year("timestamp") * 10000 + month("timestamp") * 100 + week("timestamp")',
+    "sf13_week_month_year": 'CAST(year("timestamp") * 10000 + month("timestamp") * 100 + week("timestamp") AS INTEGER)',
     "sf14_week_start": "CAST(date_trunc('week', \"timestamp\") AS DATE)",
     "sf15_minute_start": "date_trunc('minute', \"timestamp\")",
     "sf16_date": 'CAST("timestamp" AS DATE)',

@@ -44,7 +44,7 @@ def _peaks(table: str, key: str, value: str) -> str:
 _RANKED_PLATFORMS = f"""pm AS (SELECT platform, {re(f'{MS} / 1e3 / count(*)')} AS sec, {SKIP3} AS skip_rate, {PCT3} AS pct FROM plays GROUP BY 1),
 ps AS (SELECT platform, (pct / max(pct) OVER () * 0.4e0 + (1 - skip_rate) / max(1 - skip_rate) OVER () * 0.4e0
   + sec / max(sec) OVER () * 0.2e0) * 100 AS engagement_score FROM pm),
-ranked AS (SELECT *, row_number() OVER (ORDER BY engagement_score DESC, platform) AS rank FROM ps)"""
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY engagement_score DESC, platform) AS INTEGER) AS rank FROM ps)"""
 
 _ARTISTS = f"""SELECT artist_name, total_plays, unique_tracks, total_seconds, skip_rate, avg_percent_played, shuffle_rate,
  total_seconds / 3600 AS total_hours,
@@ -346,8 +346,8 @@ UNION ALL SELECT 'skip rate by hour_of_day', {_peaks('h', 'hour_of_day', 'rate')
     ),
     "wn4_artist_ranking": _with(
         _ARTIST_METRICS,
-        f"""SELECT artist_name, total_plays, rank() OVER (ORDER BY total_plays DESC) AS plays_rank, ntile(5) OVER (ORDER BY total_plays, artist_name) AS plays_quintile,
- total_hours, rank() OVER (ORDER BY total_hours DESC) AS hours_rank, skip_rate_pct, rank() OVER (ORDER BY skip_rate_pct) AS engagement_rank,
+        f"""SELECT artist_name, total_plays, CAST(rank() OVER (ORDER BY total_plays DESC) AS INTEGER) AS plays_rank, CAST(ntile(5) OVER (ORDER BY total_plays, artist_name) AS INTEGER) AS plays_quintile,
+ total_hours, CAST(rank() OVER (ORDER BY total_hours DESC) AS INTEGER) AS hours_rank, skip_rate_pct, CAST(rank() OVER (ORDER BY skip_rate_pct) AS INTEGER) AS engagement_rank,
  {r('percent_rank() OVER (ORDER BY skip_rate_pct DESC) * 1e2')} AS skip_rate_percentile, unique_tracks,
  {r('(percent_rank() OVER (ORDER BY total_plays) * 0.3e0 + percent_rank() OVER (ORDER BY avg_percent_played) * 0.4e0 + percent_rank() OVER (ORDER BY skip_rate_pct DESC) * 0.3e0) * 1e2')} AS engagement_score
  FROM am ORDER BY engagement_score DESC, artist_name LIMIT 20""",
@@ -375,7 +375,7 @@ UNION ALL SELECT 'skip rate by hour_of_day', {_peaks('h', 'hour_of_day', 'rate')
  WHERE date_diff('day', cohort, wk) // 7 <= 8 GROUP BY cohort, date_diff('day', cohort, wk) // 7"""
     ),
     "rt2_daily_retention": over_plays(
-        f"""SELECT CAST(date_diff('day', min(date), max(date)) + 1 AS BIGINT) AS total_days, count(DISTINCT date) AS active_days,
+        f"""SELECT CAST(date_diff('day', min(date), max(date)) + 1 AS INTEGER) AS total_days, count(DISTINCT date) AS active_days,
  {r("count(DISTINCT date) / CAST(date_diff('day', min(date), max(date)) + 1 AS DOUBLE)", 4)} AS retention_rate FROM plays"""
     ),
     "rt3_churn_trend": _with(

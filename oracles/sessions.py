@@ -87,7 +87,7 @@ TEXTS = {
  {rs('skip_rate_by_position - lag(skip_rate_by_position) OVER (ORDER BY track_position)')} AS skip_rate_change FROM (
  SELECT track_position, count(*) AS total_occurrences, {SKIP_PCT} AS skip_rate_by_position, {PCT} AS avg_completion_by_position,
   mode() WITHIN GROUP (ORDER BY reason_start) AS common_start_reason, mode() WITHIN GROUP (ORDER BY reason_end) AS common_end_reason
- FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", event_id) AS track_position FROM sessions)
+ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", event_id) AS INTEGER) AS track_position FROM sessions)
  WHERE track_position <= 10 GROUP BY 1)"""
     ),
     "se10_session_segments": over_metrics(
