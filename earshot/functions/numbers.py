@@ -31,13 +31,18 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum in whole billionths: exact, so it does not depend on the order of rows and adds up in steps."""
+    return F.sum(F.rint(x * 1e9).cast("decimal(20,0)"))
+
+
 def exact_mean(x: Column) -> Column:
     """Mean that does not depend on the order of rows.
 
     Floating sums change in the last digit with the order of addition, which shows after rounding
-    when the mean sits on a tie. Values are summed as whole billionths instead.
+    when the mean sits on a tie.
     """
-    return F.sum(F.rint(x * 1e9).cast("decimal(20,0)")).cast("double") / 1e9 / F.count(x)
+    return exact_sum(x).cast("double") / 1e9 / F.count(x)
 
 
 def cap(x: Column, high: float) -> Column:

@@ -51,8 +51,9 @@ ALL = CLEANED + TEMPORAL + BEHAVIOUR + ENTITY + CONTENT + SESSION + CONTEXT + MO
 def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = False, chunk_rows: int | None = None) -> DataFrame:
     """``plays`` is a cleaned log with an ``event_id`` tie-break.
 
-    One range shuffle orders the narrow log. Grouped tables read it back with only their columns,
-    as concurrent jobs, and are staged so that the final joins know their sizes. The final pass
+    One range shuffle orders the narrow log. Sessions, categories and one content rollup read it
+    back with only their columns, as concurrent jobs; entity, track and artist tables add up from
+    the rollup. All are staged so that the final joins know their sizes. The final pass
     takes lags and rolling means per chunk and joins the tables: events are sorted once.
     ``leak_free`` keeps the current play out of the rolling means.
     """
@@ -69,12 +70,16 @@ def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = Fal
     artists = F.countDistinct("artist_name").alias("artist_diversity_in_session")
     encoded = ["platform", "time_of_day", "listening_quality"]
     side = stage_all({
-        "entity_features": entities.entity_features(known),
-        "track_stats": entities.track_stats(known),
-        "artist_stats": entities.artist_stats(known),
+        "content_rollup": entities.content_rollup(known),
         "session_features": sessions.session_feature_table(known, [first_index, artists]),
         "codes": features.code_table(known, encoded),
     })
+    rollup = side["content_rollup"]
+    side |= stage_all({
+        "entity_features": entities.rolled_entities(rollup),
+        "track_stats": entities.rolled_tracks(rollup),
+        "artist_stats": entities.rolled_artists(rollup),
+    })
 
     skip = F.when(F.col("is_skip"), 1.0).otherwise(0.0)
     seen = log.history(

@@ -88,3 +88,19 @@ def test_mode_takes_the_smallest_on_ties(plays_of):
 def test_selected_features_are_those_that_exist(spark):
     df = spark.createDataFrame([(None, True)], "a int, b boolean")
     assert values(features.select_available(df, ["a", "b", "c"]), "a", "b") == [(0.0, 1.0)]
+
+
+def test_rollup_adds_up_to_the_direct_tables(spark, middle_dir):
+    from earshot.plans.workspace import Workspace
+
+    plays = Workspace(spark, middle_dir).plays
+    # one name under two uris, so that the rollup's keys do not nest
+    plays = plays.withColumn("track_uri", F.concat("track_uri", F.lit("/"), (F.col("event_id") % 2).cast("string")))
+    rollup = entities.content_rollup(plays)
+    pairs = (
+        (entities.rolled_entities(rollup), entities.entity_features(plays)),
+        (entities.rolled_tracks(rollup), entities.track_stats(plays)),
+        (entities.rolled_artists(rollup), entities.artist_stats(plays)),
+    )
+    for rolled, direct in pairs:
+        assert sorted(map(tuple, rolled.select(*direct.columns).collect())) == sorted(map(tuple, direct.collect()))
