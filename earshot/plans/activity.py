@@ -121,6 +121,15 @@ def centred_report(plays: DataFrame) -> DataFrame:
     )
 
 
+def retention_table(plays: DataFrame) -> DataFrame:
+    """Days with their week and seven-day centred means, as exported by the retention step."""
+    days = daily_activity(plays).select(
+        "date", "daily_plays", "daily_minutes", "daily_skip_rate",
+        F.to_date(F.date_trunc("week", F.col("date").cast("timestamp"))).alias("week"),
+    )
+    return trends.centred_avg(days, {"daily_plays": "rolling_7d_plays", "daily_minutes": "rolling_7d_minutes"}, digits=4)
+
+
 def peak_report(plays: DataFrame) -> DataFrame:
     """Busiest and quietest hour, weekday and platform, and the hours with most and fewest skips."""
     def counted(key: str) -> DataFrame:

@@ -172,3 +172,20 @@ def listening_time_leaders(plays: DataFrame, k: int = 15) -> DataFrame:
         .orderBy(F.desc("total_minutes"), "track_name", "artist_name")
         .limit(k)
     )
+
+
+def artist_leaders(plays: DataFrame, by: str = "total_plays", k: int = 15) -> DataFrame:
+    """Artists by plays or by hours, as exported by the exploratory report."""
+    return (
+        plays.groupBy("artist_name")
+        .agg(
+            m.plays().alias("total_plays"),
+            F.countDistinct("track_name").alias("unique_tracks"),
+            round_half_even(F.sum("ms_played") / 1e3, 2).alias("total_seconds"),
+            round_half_even(F.avg(flag(F.col("is_skip"))), 2).alias("skip_rate"),
+            round_half_even(exact_mean(F.col("percent_played")), 2).alias("avg_percent_played"),
+            round_half_even(F.sum("ms_played") / 3.6e6, 1).alias("total_hours"),
+        )
+        .orderBy(F.desc(by), "artist_name")
+        .limit(k)
+    )

@@ -172,3 +172,17 @@ def insights(plays: DataFrame, scored: DataFrame, retention: DataFrame, churn: D
     rows = [F.struct(F.lit(n).alias("rule"), fired.alias("fired"), v.alias("value")) for n, (fired, v) in rules.items()]
     return row.select(F.inline(F.array(*rows)))
 
+
+def final_summary(best: DataFrame, clustering: DataFrame, retention: DataFrame, churn: DataFrame) -> DataFrame:
+    """Best model, segments, retention and trend as (metric, value) rows, from four one-row tables."""
+    row = _beside(best, clustering, retention, churn)
+    decimal = lambda x: x.cast("decimal(20,4)").cast("string")
+    values = {
+        "Best Model": F.col("name"),
+        "Best Model AUC": decimal(F.col("auc")),
+        "User Segments": F.col("optimal_k").cast("string"),
+        "Retention Rate": decimal(F.col("retention_rate")),
+        "Activity Trend": decimal(F.col("trend")),
+        "Churn Risk": F.col("churn_risk"),
+    }
+    return unpivot_row(row, values, "metric", "value")

@@ -303,6 +303,8 @@ REPORTS: dict[str, Query] = {
     "ag1_top_tracks": lambda ws: content.top_tracks(ws.plays),
     "ag1_listening_time_leaders": lambda ws: content.listening_time_leaders(ws.plays),
     "ag2_top_artists": lambda ws: content.top_artists(ws.plays),
+    "ag2_artist_leaders": lambda ws: content.artist_leaders(ws.plays),
+    "ag2_artist_leaders_by_hours": lambda ws: content.artist_leaders(ws.plays, "total_hours", 10),
     "ag3_platform_report": lambda ws: platforms.platform_report(ws.plays),
     "ag3_platform_table": lambda ws: platforms.platform_table(ws.plays),
     "ag4_platform_by_time": lambda ws: platforms.platform_by_time(ws.plays),
@@ -356,6 +358,7 @@ REPORTS: dict[str, Query] = {
     "pv4_time_platform_share": lambda ws: pivots.pivot_share(ws.plays, "time_of_day", "platform", PLATFORMS),
     "wn1_trailing_avg": lambda ws: activity.rolling_report(ws.plays),
     "wn2_centred_avg": lambda ws: activity.centred_report(ws.plays),
+    "wn2_retention_table": lambda ws: _rounded(activity.retention_table(ws.plays), 6, "daily_minutes"),
     "wn3_pct_change": lambda ws: trends.pct_change(
         activity.daily(ws.plays).select("date", "daily_plays"), "daily_plays", 1, "dod_plays_change", previous="prev_day_plays"
     ),
@@ -400,6 +403,7 @@ SESSIONS: dict[str, Query] = {
     "se11_daily_sessions": lambda ws: session_reports.daily_sessions(ws.metrics),
     "se11_daily_sessions_per_platform": lambda ws: session_reports.daily_sessions(ws.metrics, per_platform=True),
     "se12_session_summary": lambda ws: session_reports.session_summary(ws.stats),
+    "se12_platform_sessions": lambda ws: activity.count_by(ws.stats, "primary_platform"),
     "rt1_cohort_retention": lambda ws: retention.cohort_retention(ws.plays),
     "rt1_cohort_retention_by_user": lambda ws: retention.cohort_retention(ws.plays, "user_id"),
     "rt2_daily_retention": lambda ws: retention.daily_retention(activity.daily_activity(ws.plays)),
@@ -483,6 +487,18 @@ def _explained(ws: Workspace) -> DataFrame:
     return clusters.centroids(ws.spark, found, model).withColumns({"explained_1": F.lit(first), "explained_2": F.lit(second)})
 
 
+def _cluster_summary(ws: Workspace) -> DataFrame:
+    found = _clustering(ws)
+    return clusters.clustering_summary(ws.spark, found, clusters.pca2(found.scaled)[1])
+
+
+def _final_summary(ws: Workspace) -> DataFrame:
+    days = activity.daily_activity(ws.plays)
+    return kpis.final_summary(
+        models.best_model(_evaluated(ws)), _cluster_summary(ws), retention.daily_retention(days), retention.churn_trend(days)
+    )
+
+
 LEARNING: dict[str, Query] = {
     "ml1_skip_matrix": lambda ws: _rounded(matrix.skip_matrix(ws.features), 6, "rolling_5_skip_rate"),
     "ml2_skip_matrix_basic": lambda ws: matrix.skip_matrix_basic(ws.plays),
@@ -513,6 +529,8 @@ LEARNING: dict[str, Query] = {
         "event_id", "prediction", "score"
     ),
     "ml19_evaluation": _evaluated,
+    "ml19_clustering_summary": _cluster_summary,
+    "ml19_final_summary": _final_summary,
     "ml20_cluster_insights": lambda ws: clusters.cluster_insights(clusters.cluster_profile_table(_assigned(ws))),
     "rt6_cluster_labels": lambda ws: clusters.cluster_labels(clusters.cluster_profile_table(_assigned(ws))).select(
         "cluster", "profile_name"

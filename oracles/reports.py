@@ -198,6 +198,14 @@ _TOP_TRACKS = f"""SELECT track_name, artist_name, count(*) AS play_count, {MINUT
  {SKIP_PCT} AS skip_rate_pct FROM plays GROUP BY 1, 2 HAVING count(*) >= 5 ORDER BY play_count DESC, track_name, artist_name LIMIT 20"""
 
 
+def _leaders(by: str, k: int) -> str:
+    return over_plays(
+        f"""SELECT artist_name, count(*) AS total_plays, count(DISTINCT track_name) AS unique_tracks, {re(f'{MS} / 1e3', 2)} AS total_seconds,
+ {re(f'avg({SKIP})', 2)} AS skip_rate, {re(xavg('percent_played'), 2)} AS avg_percent_played, {re(f'{MS} / 3.6e6', 1)} AS total_hours
+ FROM plays GROUP BY 1 ORDER BY {by} DESC, 1 LIMIT {k}"""
+    )
+
+
 def _extremes(direction: str) -> str:
     return over_plays(
         f"SELECT artist_name, count(*) AS total_plays, {SKIPS} AS total_skips, {SKIP3} AS skip_rate FROM plays GROUP BY 1 HAVING count(*) >= 10 ORDER BY skip_rate {direction}, 1 LIMIT 10"
@@ -217,6 +225,8 @@ TEXTS = {
  {SECONDS} AS avg_seconds_per_play, {SKIP_PCT} AS skip_rate_pct FROM plays GROUP BY 1 HAVING count(*) >= 10
  ORDER BY total_hours DESC, artist_name LIMIT 15"""
     ),
+    "ag2_artist_leaders": _leaders("total_plays", 15),
+    "ag2_artist_leaders_by_hours": _leaders("total_hours", 10),
     "ag3_platform_report": over_plays(
         f"""SELECT platform, count(*) AS total_plays, {r('count(*) * 1e2 / sum(count(*)) OVER ()')} AS market_share_pct, {HOURS} AS total_hours,
  {SECONDS} AS avg_seconds_per_play, {SKIP_PCT} AS skip_rate_pct, {PCT} AS avg_percent_played FROM plays GROUP BY 1"""
@@ -337,6 +347,13 @@ UNION ALL SELECT 'skip rate by hour_of_day', {_peaks('h', 'hour_of_day', 'rate')
         _ACTIVITY,
         f"""SELECT date, daily_plays, daily_hours, CASE WHEN count(*) OVER w = 7 THEN {rs('avg(daily_plays) OVER w', 4)} END AS rolling_plays,
  CASE WHEN count(*) OVER w = 7 THEN {rs('avg(daily_hours) OVER w', 4)} END AS rolling_hours
+ FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
+    ),
+    "wn2_retention_table": _with(
+        _ACTIVITY,
+        f"""SELECT date, daily_plays, {r('daily_minutes', 6)} AS daily_minutes, daily_skip_rate, CAST(date_trunc('week', date) AS DATE) AS week,
+ CASE WHEN count(*) OVER w = 7 THEN {rs('avg(daily_plays) OVER w', 4)} END AS rolling_7d_plays,
+ CASE WHEN count(*) OVER w = 7 THEN {rs('avg(daily_minutes) OVER w', 4)} END AS rolling_7d_minutes
  FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
     ),
     "wn3_pct_change": _with(

@@ -109,6 +109,7 @@ TEXTS = {
  quantile_cont(session_duration_minutes, 0.5) AS median_duration, quantile_cont(tracks_count, 0.5) AS median_tracks,
  quantile_cont(skip_rate, 0.5) AS median_skip_rate FROM stats"""
     ),
+    "se12_platform_sessions": over_stats("SELECT primary_platform, count(*) AS plays FROM stats GROUP BY 1"),
     "ag37_histogram_duration": _histogram("session_duration_minutes", 50),
     "ag37_histogram_tracks": _histogram("tracks_count", 30),
     "ag37_histogram_skip_rate": _histogram("skip_rate", 30),
