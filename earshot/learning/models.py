@@ -93,6 +93,12 @@ def evaluation(spark: SparkSession, results: dict[str, tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, accuracy double, auc double, cv_auc double, cv_std double")
 
 
+def model_summary(spark: SparkSession, results: dict[str, tuple[float, float]]) -> DataFrame:
+    """(model, accuracy, auc) rows from the test part alone."""
+    rows = [(name, float(accuracy), float(auc)) for name, (accuracy, auc) in results.items()]
+    return spark.createDataFrame(rows, "model string, accuracy double, auc double")
+
+
 def best_model(table: DataFrame) -> DataFrame:
     return table.agg(F.max_by("model", "auc").alias("name"), F.max("auc").alias("auc"))
 

@@ -433,11 +433,16 @@ def _trained(name: str) -> Query:
     return lambda ws: models.score(_model(ws, name), ws.test).select("event_id", "label", "prediction", "score")
 
 
-def _evaluated(ws: Workspace) -> DataFrame:
-    def run() -> dict[str, tuple]:
-        return {n: models.accuracy_and_auc(_model(ws, n), ws.test) + _validated(ws, n) for n in models.NAMES}
+def _tested(ws: Workspace, name: str) -> tuple[float, float]:
+    return ws.keep(f"test {name}", lambda: models.accuracy_and_auc(_model(ws, name), ws.test))
+
+
+def _summarised(ws: Workspace) -> DataFrame:
+    return models.model_summary(ws.spark, {n: _tested(ws, n) for n in models.NAMES})
 
-    return models.evaluation(ws.spark, ws.keep("evaluation", run))
+
+def _evaluated(ws: Workspace) -> DataFrame:
+    return models.evaluation(ws.spark, {n: _tested(ws, n) + _validated(ws, n) for n in models.NAMES})
 
 
 def _validated(ws: Workspace, name: str) -> tuple[float, float]:
@@ -495,7 +500,7 @@ def _cluster_summary(ws: Workspace) -> DataFrame:
 def _final_summary(ws: Workspace) -> DataFrame:
     days = activity.daily_activity(ws.plays)
     return kpis.final_summary(
-        models.best_model(_evaluated(ws)), _cluster_summary(ws), retention.daily_retention(days), retention.churn_trend(days)
+        models.best_model(_summarised(ws)), _cluster_summary(ws), retention.daily_retention(days), retention.churn_trend(days)
     )
 
 
@@ -512,7 +517,7 @@ LEARNING: dict[str, Query] = {
     "ml8_class_weights": lambda ws: matrix.class_weights(ws.plays.select(F.col("is_skip").cast("int").alias("label"))),
     "ml9_binary_metrics": lambda ws: scores.binary_metrics(_by_completion(ws)),
     "ml10_cross_validate": _cross_validated,
-    "ml11_best_model": lambda ws: models.best_model(_evaluated(ws)),
+    "ml11_best_model": lambda ws: models.best_model(_summarised(ws)),
     "ml12_importances": lambda ws: models.importances(
         ws.spark, _model(ws, models.RANDOM_FOREST), matrix.feature_names(ws.train)
     ),
@@ -529,6 +534,7 @@ LEARNING: dict[str, Query] = {
         "event_id", "prediction", "score"
     ),
     "ml19_evaluation": _evaluated,
+    "ml19_model_summary": _summarised,
     "ml19_clustering_summary": _cluster_summary,
     "ml19_final_summary": _final_summary,
     "ml20_cluster_insights": lambda ws: clusters.cluster_insights(clusters.cluster_profile_table(_assigned(ws))),
