@@ -42,9 +42,13 @@ def application_folder(spark: SparkSession) -> str:
 
 def drop_staged(spark: SparkSession) -> None:
     """Remove what this application staged; call it when no staged table is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(application_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, application_folder(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems; a missing one is no error."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
