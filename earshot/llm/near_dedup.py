@@ -110,9 +110,10 @@ def _confirm(rule: Rule):
 
 class _Search:
     def __init__(self, docs: DataFrame, rule: Rule, scratch: Scratch):
-        self.docs, self.rule, self.scratch = docs, rule, scratch
+        self.docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+        self.rule, self.scratch = rule, scratch
         self.sketched = scratch.stage(
-            docs.select("doc_id", "text").mapInArrow(_sketches(rule), "doc_id bigint, n bigint, digest binary, sketch array<bigint>"),
+            self.docs.mapInArrow(_sketches(rule), "doc_id bigint, n bigint, digest binary, sketch array<bigint>"),
             "sketches",
         )
         some = self.sketched.where("digest is not null and doc_id is not null")
@@ -160,7 +161,7 @@ class _Search:
         wanted = stage(
             self.classes.join(wanted, "node").select("digest", F.col("node").alias("doc_id")), "wanted"
         )
-        texts = self.docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
         sets = stage(texts.mapInArrow(_full_sets(rule), "node bigint, members binary").dropDuplicates(["node", "members"]), "full_sets")
         sides = [sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}")) for s in "ab"]
         links = stage(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import near_dedup
+from earshot.llm import decontamination, near_dedup, quality_rules
 from earshot.session import configure
 
 
@@ -18,7 +18,21 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), near_dedup.Rule(shingle=3, percent=85))
 
 
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination_query,
+    "op8_quality_rules": quality_query,
     "op10_near_dedup": near_dedup_query,
 }
 SQL: dict[str, str] = {}
