@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.scratch import Scratch
+from earshot.llm.scratch import Scratch, fresh
 
 WINDOW, K = 10, 5
 POSITION_BITS = 27
@@ -144,6 +144,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
     bad = find(docs, benchmark).where("contaminated").select("text_key").distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", F.col("text").cast("string"))).join(
-        bad.withColumnRenamed("text_key", "_key"), "_key", "left_anti"
+    (key,) = fresh(docs, "text_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", F.col("text").cast("string"))).join(
+        bad.withColumnRenamed("text_key", key), key, "left_anti"
     ).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import decontamination, near_dedup, quality_rules
+from earshot.llm import decontamination, near_dedup, pii, quality_rules
 from earshot.session import configure
 
 
@@ -30,8 +30,13 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination_query,
+    "op6_pii": pii_query,
     "op8_quality_rules": quality_query,
     "op10_near_dedup": near_dedup_query,
 }

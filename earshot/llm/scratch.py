@@ -27,3 +27,13 @@ class Scratch:
             for entry in [x for x in self._paths if x[0] is table]:
                 self._paths.remove(entry)
                 staging.remove(self.spark, entry[1])
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in docs.columns} or name in out:
+            name = "_" + name
+        out.append(name)
+    return out
