@@ -4,24 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import near_dedup
+from earshot.llm import bpe, decontamination, near_dedup, pii, quality_rules
+from earshot.llm.queries import tokenizer_path
 from earshot.llm.scratch import Scratch
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base limits or a certified cutoff reject go."""
+    return quality_rules.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.keep_one(docs)
 
 
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; all documents stay."""
+    return pii.redact(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the text they decode to."""
+    return bpe.encode(docs, tokenizer_path())
+
+
 STAGES = [
+    ("quality_rules", keep_good_quality),
     ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_text),
+    ("pii", redact_personal_data),
+    ("bpe_encoding", encode_texts),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written before the next stage reads it."""
     scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.stage(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

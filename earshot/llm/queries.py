@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import decontamination, near_dedup, pii, quality_rules
+from earshot.llm import bpe, decontamination, near_dedup, pii, quality_rules
 from earshot.session import configure
 
+#: The installed tokenizer file that the encoding query and the pipeline use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers  # only installed where the tokenizer files are
+
+    return str(public_tokenizers.path(TOKENIZER))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -34,8 +43,13 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def encoding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination_query,
+    "op5_bpe_encoding": encoding_query,
     "op6_pii": pii_query,
     "op8_quality_rules": quality_query,
     "op10_near_dedup": near_dedup_query,
