@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,11 +213,14 @@ def compile_file(path: str) -> Automaton:
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, the ids (little-endian 32-bit) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(compile_file(path))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(compile_file(path)))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        # a worker keeps the broadcast between its tasks, and with it the automaton and the words it knows
+        if not hasattr(shared, "automaton"):
+            shared.automaton = cloudpickle.loads(shared.value)
+        automaton = shared.automaton
         for batch in batches:
             for first in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(first, CHUNK_ROWS)
