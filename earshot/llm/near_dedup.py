@@ -6,9 +6,10 @@
    of the rest a representative posts its rarest ones, as many as make it sure (exactly for small sets, up to
    ``MISS`` for larger ones) that two linked sets meet in one inverted list. Frequent values are so never posted
    by texts that have enough others.
-3. Lists are compared to a pivot first, then to several, then whatever still lies in different components is
-   compared with all others of its list. Pairs within a component are never made.
-4. The sketch of the union estimates the similarity of a pair; what passes is confirmed on the full sets.
+3. The nodes of a list are compared with a pivot first, and again with others. The sketch of the union estimates
+   the similarity of a pair; what passes is confirmed on the full sets.
+4. What the estimate found near forms clusters. Components of one cluster are compared in blocks, and pairs that
+   meet in a list but in different clusters and components one by one. No two nodes of a component are compared.
 5. Links join representatives into components; members follow through their class.
 
 Null text, no words: empty set, linked with nothing. Fewer words than a shingle: the whole sequence is the only
@@ -22,8 +23,10 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,11 @@ from earshot.llm.scratch import Scratch
 
 #: Accepted chance that a link at the threshold shows too few shared retained values.
 MISS = 1e-9
-PIVOT_SEEDS = (11, 22, 33, 44)
+PIVOT_SEEDS = (11, 22)
+#: Lists of each node that are compared with pivots before all lists are.
+WIDEST = 3
+#: Bytes of sets in a block, and columns of the matrix made of them at once.
+BLOCK, COLUMNS = 1 << 20, 4096
 
 
 @dataclass(frozen=True)
@@ -127,7 +134,8 @@ class _Search:
         )
 
     def postings(self) -> DataFrame:
-        """``(v, node)``: the rarest retained values of each node among those that others retain too."""
+        """``(v, node, n, big)``: the rarest retained values of each node among those that others retain too; ``big``
+        marks the ``WIDEST`` of them that most others retain."""
         rule, k = self.rule, self.rule.k
         share = 100 - rule.percent
         held = F.least("n", F.lit(k))
@@ -140,7 +148,10 @@ class _Search:
         # a node has at most k of them
         ranked = met.groupBy("node", "n", "held", "length").agg(F.sort_array(F.collect_list("p")).alias("p"))
         left = F.col("length") - (F.col("held") - F.size("p"))
-        return ranked.where(left > 0).select(F.explode(F.slice("p", 1, left.cast("int"))).alias("p"), "node").select("p.v", "node")
+        ranked = ranked.where(left > 0).withColumn("p", F.slice("p", 1, left.cast("int")))
+        return ranked.select("node", "n", F.size("p").alias("z"), F.posexplode("p").alias("i", "p")).select(
+            "p.v", "p.count", "node", "n", (F.col("i") >= F.col("z") - WIDEST).alias("big")
+        )
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that the union's sketch lets through and the full sets confirm."""
@@ -148,75 +159,158 @@ class _Search:
         of = lambda side: self.nodes.select(
             F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")
         )
-        union = F.array_sort(F.array_union("s_a", "s_b"))
-        low = F.slice(union, 1, rule.k)
-        both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), low))
+        union = F.array_union("s_a", "s_b")
+        shared = F.array_intersect("s_a", "s_b")
+        low = F.slice(F.array_sort(union), 1, rule.k)
         whole = (F.col("n_a") <= rule.k) & (F.col("n_b") <= rule.k)
-        passes = F.when(whole, 100 * both >= rule.percent * F.size(F.array_union("s_a", "s_b"))).otherwise(
-            both * rule.k >= rule.sure_overlap() * F.size(low)
+        passes = F.when(whole, 100 * F.size(shared) >= rule.percent * F.size(union)).otherwise(
+            F.size(F.array_intersect(shared, low)) >= rule.sure_overlap()
         )
         sizes = (100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
         likely = stage(pairs.join(of("a"), "a").join(of("b"), "b").where(sizes).where(passes).select("a", "b"), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stage(
-            self.classes.join(wanted, "node").select("digest", F.col("node").alias("doc_id")), "wanted"
-        )
-        texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = stage(texts.mapInArrow(_full_sets(rule), "node bigint, members binary").dropDuplicates(["node", "members"]), "full_sets")
+        sets = self.full_sets(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sides = [sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}")) for s in "ab"]
         links = stage(
             likely.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm(rule), "a bigint, b bigint").distinct(), "links"
         )
-        self.scratch.drop(sets, wanted, likely)
+        self.scratch.drop(sets)
+        return likely, links
+
+    def full_sets(self, nodes: DataFrame) -> DataFrame:
+        """``node, members`` (the sorted hashes as bytes), made again from the texts."""
+        wanted = self.scratch.stage(nodes, "wanted")
+        texts = self.docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_full_sets(self.rule), "node bigint, members binary").dropDuplicates(["node", "members"])
+        sets = self.scratch.stage(sets, "full_sets")
+        self.scratch.drop(wanted)
+        return sets
+
+    def block_links(self, coarse: DataFrame, root: DataFrame) -> DataFrame:
+        """A link for each two components of a cluster that have one. A cluster is cut into blocks of about ``BLOCK``
+        bytes of sets; each task compares two blocks by a matrix product and returns links between different
+        components only, so neither a task nor the output grows with the square of a cluster."""
+        nodes = coarse.select("node", F.col("root").alias("cluster")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = self.nodes.groupBy("node").agg(F.max("n").alias("n"))
+        nodes = self.scratch.stage(nodes.join(sizes, "node"), "clustered")
+        parts = nodes.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        parts = parts.groupBy("cluster").agg(
+            F.max_by("root", "c").alias("most"), F.max_by("n", "c").alias("most_n"), F.sum("n").alias("all_n"), F.count("*").alias("parts")
+        ).where("parts > 1")
+        blocks = lambda n: F.ceil(n * 8 / F.lit(BLOCK)).cast("int")
+        parts = parts.select("cluster", "most", blocks(F.col("all_n")).alias("blocks"), F.greatest(F.lit(1), blocks(F.col("all_n") - F.col("most_n"))).alias("few_blocks"))
+        live = self.scratch.stage(nodes.join(parts, "cluster"), "live_clusters")
+        sets = self.full_sets(live.select("node").distinct())
+        own = lambda b: F.pmod(F.xxhash64("node"), F.col(b)).cast("int")
+        few = live.where("root <> most").select("cluster", own("few_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "root", F.lit(0).alias("side"))
+        every = live.select("cluster", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), own("blocks").alias("j"), "node", "root", F.lit(1).alias("side"))
+        rows = few.unionByName(every).join(sets, "node")
+        links = self.scratch.stage(
+            rows.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(self.rule.percent), "a bigint, b bigint"), "block_links"
+        )
+        self.scratch.drop(nodes, live, sets)
         return links
 
     def components(self) -> DataFrame:
         stage, drop = self.scratch.stage, self.scratch.drop
         posted = stage(self.postings(), "postings")
-        tried = links = None
+        tried, near, links = [], [], []
         root = None
-        for find in (_to_first, _to_pivots, _to_the_rest):
-            lists = posted if root is None else posted.join(root, "node", "left")
-            lists = lists.withColumn("root", F.col("node") if root is None else F.coalesce("root", "node"))
-            pairs = find(lists).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            found = self.linked(pairs)
-            tried = pairs if tried is None else tried.union(pairs)
-            links = found if links is None else links.union(found)
-            old, root = root, stage(components(links, self.scratch), "roots")
+
+        def compare(found: DataFrame) -> None:
+            nonlocal root
+            pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            for earlier in tried:
+                pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+            tried.append(stage(pairs, "pairs"))
+            likely, found = self.linked(tried[-1])
+            near.append(likely)
+            links.append(found)
+            join()
+
+        def join() -> None:
+            nonlocal root
+            old, root = root, stage(components(reduce(DataFrame.union, links), self.scratch), "roots")
             if old is not None:
                 drop(old)
-        drop(posted)
+
+        def lists() -> DataFrame:
+            known = posted if root is None else posted.join(root, "node", "left")
+            return known.withColumn("root", F.col("node") if root is None else F.coalesce("root", "node"))
+
+        compare(_to_first(lists()))
+        for seed in PIVOT_SEEDS:
+            compare(_to_pivots(lists(), seed))
+        coarse = stage(components(reduce(DataFrame.union, near), self.scratch), "coarse")
+        links.append(self.block_links(coarse, root))
+        join()
+        compare(_to_the_rest(lists().join(coarse.withColumnRenamed("root", "cluster"), "node", "left"), self.rule.percent))
+        drop(posted, coarse, *tried, *near, *links)
         return root
 
 
+def _compare_blocks(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["side"] == s] for s in (0, 1)]
+        sets = [[np.frombuffer(x, np.int64) for x in s["members"]] for s in sides]
+        sizes = [np.array([len(x) for x in s], np.int64) for s in sets]
+        if not len(sizes[0]) or not len(sizes[1]):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        values = [np.concatenate(s) for s in sets]
+        shared = np.intersect1d(*values)
+        at = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        for s in (0, 1):
+            found = np.isin(values[s], shared)
+            values[s], at[s] = np.searchsorted(shared, values[s][found]), at[s][found]
+        both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+        for low in range(0, len(shared), COLUMNS):
+            dense = []
+            for s in (0, 1):
+                inside = (values[s] >= low) & (values[s] < low + COLUMNS)
+                x = np.zeros((len(sizes[s]), min(COLUMNS, len(shared) - low)), np.float32)
+                x[at[s][inside], values[s][inside] - low] = 1
+                dense.append(x)
+            both += dense[0] @ dense[1].T
+        both = both.astype(np.int64)
+        roots = [s["root"].to_numpy() for s in sides]
+        linked = (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & (roots[0][:, None] != roots[1][None, :])
+        x, y = np.nonzero(linked)
+        ends = pd.DataFrame({"a": sides[0]["node"].to_numpy()[x], "b": sides[1]["node"].to_numpy()[y], "r": roots[0][x], "q": roots[1][y]})
+        return ends.drop_duplicates(["r", "q"])[["a", "b"]]
+
+    return run
+
+
 def _to_first(lists: DataFrame) -> DataFrame:
-    """Every node of a list with the smallest one."""
-    first = lists.groupBy("v").agg(F.min("node").alias("x"), F.max("node").alias("z")).where("x < z")
-    return lists.join(first, "v").where("node <> x").select("x", F.col("node").alias("y"))
-
-
-def _to_pivots(lists: DataFrame) -> DataFrame:
-    """Nodes with a few pivots of their list that lie in other components. Seeds are the same in all lists, so
-    that near copies, which meet in many lists, meet the same pivots."""
-    pick = [
-        F.struct(F.min_by("node", F.xxhash64("node", F.lit(s))).alias("x"), F.min_by("root", F.xxhash64("node", F.lit(s))).alias("r"))
-        for s in PIVOT_SEEDS
-    ]
-    open_ = lists.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*pick).alias("pivots")).where("lo < hi")
-    return (
-        lists.join(open_.select("v", "pivots"), "v").select(F.explode("pivots").alias("p"), "node", "root")
-        .where("p.r <> root").select("p.x", F.col("node").alias("y"))
-    )
+    """Every node with the smallest one of its widest lists."""
+    big = lists.where("big")
+    first = big.groupBy("v").agg(F.min("node").alias("x"), F.max("node").alias("z")).where("x < z")
+    return big.join(first, "v").where("node <> x").select("x", F.col("node").alias("y"))
+
+
+def _to_pivots(lists: DataFrame, seed: int) -> DataFrame:
+    """Nodes with a pivot of their widest lists that lies in another component. The seed is the same in all lists,
+    so that near copies, which meet in many lists, meet the same pivot."""
+    big, place = lists.where("big"), F.xxhash64("node", F.lit(seed))
+    open_ = big.groupBy("v").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("node", place).alias("x"), F.min_by("root", place).alias("r")
+    ).where("lo < hi")
+    return big.join(open_, "v").where("r <> root").select("x", F.col("node").alias("y"))
 
 
-def _to_the_rest(lists: DataFrame) -> DataFrame:
-    """All pairs of a list that lie in different components, one side outside the list's largest one."""
+def _to_the_rest(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of similar size in different components and clusters that meet in a list, one side outside the
+    list's largest component; each pair only in the first list that both are in."""
     parts = lists.groupBy("v", "root").count()
     open_ = parts.groupBy("v").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    live = lists.join(open_, "v")
-    few = live.where("root <> most").select("v", F.col("node").alias("x"), F.col("root").alias("r"))
-    return few.join(live, "v").where("r <> root").select("x", F.col("node").alias("y"))
+    live = lists.join(open_.select("v", "most"), "v")
+    own = live.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "v"))), lambda s: s["v"]).alias("values"))
+    live = live.join(own, "node")
+    few = live.where("root <> most").select("v", F.col("node").alias("x"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("values").alias("w"), F.col("cluster").alias("c"))
+    similar = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    first = F.get(F.array_intersect("w", "values"), F.lit(0)) == F.col("first_v")
+    few = few.withColumn("first_v", F.col("v"))
+    apart = (F.col("r") != F.col("root")) & F.coalesce(F.col("c") != F.col("cluster"), F.lit(True))
+    return few.join(live, (few["v"] == live["v"]) & apart & similar & first).select("x", F.col("node").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
