@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from earshot.llm import bpe, decontamination, near_dedup, pii, quality_rules
+from earshot.llm import bpe, chat, decontamination, licenses, near_dedup, packing, pii, quality_rules, secrets, sharding
+from earshot.llm.scratch import Scratch
 from earshot.session import configure
 
 #: The installed tokenizer file that the encoding query and the pipeline use.
@@ -47,11 +49,47 @@ def encoding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+#: One conversation whose texts look like markup.
+MARKUP = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(MARKUP, "conv_id bigint, turn bigint, role string, text string"))
+    return chat.read_back(Scratch(spark).stage(chat.format_windows(turns), "chat_windows"))
+
+
+def _path() -> Column:
+    """Documents lie in a folder for each source and, below, language."""
+    return F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
+
+
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), _path())
+
+
+def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), _path())
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination_query,
+    "op2_secret_scan": secrets_query,
+    "op3_chat_formatting": chat_query,
+    "op4_license_scan": licenses_query,
     "op5_bpe_encoding": encoding_query,
     "op6_pii": pii_query,
+    "op7_packing": packing_query,
     "op8_quality_rules": quality_query,
+    "op9_sharding": sharding_query,
     "op10_near_dedup": near_dedup_query,
 }
 SQL: dict[str, str] = {}
