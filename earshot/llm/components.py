@@ -19,6 +19,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.stage(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
     )
+    before = _print(edges)
     while True:
         # large star: neighbours above u move to the smallest of u and its neighbours
         both = edges.union(edges.select("v", "u"))
@@ -30,7 +31,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         moved = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         small = scratch.stage(moved.where("u <> v").distinct(), "small_star")
         scratch.drop(large)
-        same = _print(small) == _print(edges)
+        after = _print(small)
+        same, before = after == before, after
         scratch.drop(edges)
         edges = small
         if same:

@@ -6,10 +6,11 @@
    of the rest a representative posts its rarest ones, as many as make it sure (exactly for small sets, up to
    ``MISS`` for larger ones) that two linked sets meet in one inverted list. Frequent values are so never posted
    by texts that have enough others.
-3. The nodes of a list are compared with a pivot first, and again with others. The sketch of the union estimates
-   the similarity of a pair; what passes is confirmed on the full sets.
-4. What the estimate found near forms clusters. Components of one cluster are compared in blocks, and pairs that
-   meet in a list but in different clusters and components one by one. No two nodes of a component are compared.
+3. The nodes of a list are compared with the first of them. The sketch of the union estimates the similarity of a
+   pair; what passes is confirmed on the full sets.
+4. What the estimate found near forms clusters, which take in the rest of the long lists they lie in. Components of
+   one cluster are compared in blocks, and pairs that meet in a list without sharing a cluster one by one. No two
+   nodes of a component are compared.
 5. Links join representatives into components; members follow through their class.
 
 Null text, no words: empty set, linked with nothing. Fewer words than a shingle: the whole sequence is the only
@@ -37,9 +38,8 @@ from earshot.llm.scratch import Scratch
 
 #: Accepted chance that a link at the threshold shows too few shared retained values.
 MISS = 1e-9
-PIVOT_SEEDS = (11, 22)
-#: Lists of each node that are compared with pivots before all lists are.
-WIDEST = 3
+#: Lists of each node that are compared with their first node, and how long one must be to be a cluster by itself.
+WIDEST, WIDE = 3, 64
 #: Bytes of sets in a block, and columns of the matrix made of them at once.
 BLOCK, COLUMNS = 1 << 20, 4096
 
@@ -185,11 +185,11 @@ class _Search:
         self.scratch.drop(wanted)
         return sets
 
-    def block_links(self, coarse: DataFrame, root: DataFrame) -> DataFrame:
+    def block_links(self, clusters: DataFrame, root: DataFrame) -> DataFrame:
         """A link for each two components of a cluster that have one. A cluster is cut into blocks of about ``BLOCK``
         bytes of sets; each task compares two blocks by a matrix product and returns links between different
         components only, so neither a task nor the output grows with the square of a cluster."""
-        nodes = coarse.select("node", F.col("root").alias("cluster")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        nodes = clusters.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = self.nodes.groupBy("node").agg(F.max("n").alias("n"))
         nodes = self.scratch.stage(nodes.join(sizes, "node"), "clustered")
         parts = nodes.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
@@ -238,13 +238,13 @@ class _Search:
             return known.withColumn("root", F.col("node") if root is None else F.coalesce("root", "node"))
 
         compare(_to_first(lists()))
-        for seed in PIVOT_SEEDS:
-            compare(_to_pivots(lists(), seed))
         coarse = stage(components(reduce(DataFrame.union, near), self.scratch), "coarse")
-        links.append(self.block_links(coarse, root))
+        clusters = stage(_clusters(posted, coarse), "clusters")
+        links.append(self.block_links(clusters, root))
         join()
-        compare(_to_the_rest(lists().join(coarse.withColumnRenamed("root", "cluster"), "node", "left"), self.rule.percent))
-        drop(posted, coarse, *tried, *near, *links)
+        of_node = clusters.groupBy("node").agg(F.collect_set("cluster").alias("clusters"))  # at most 1 + WIDEST
+        compare(_to_the_rest(lists().join(of_node, "node", "left"), self.rule.percent))
+        drop(posted, coarse, clusters, *tried, *near, *links)
         return root
 
 
@@ -287,14 +287,15 @@ def _to_first(lists: DataFrame) -> DataFrame:
     return big.join(first, "v").where("node <> x").select("x", F.col("node").alias("y"))
 
 
-def _to_pivots(lists: DataFrame, seed: int) -> DataFrame:
-    """Nodes with a pivot of their widest lists that lies in another component. The seed is the same in all lists,
-    so that near copies, which meet in many lists, meet the same pivot."""
-    big, place = lists.where("big"), F.xxhash64("node", F.lit(seed))
-    open_ = big.groupBy("v").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("node", place).alias("x"), F.min_by("root", place).alias("r")
-    ).where("lo < hi")
-    return big.join(open_, "v").where("r <> root").select("x", F.col("node").alias("y"))
+def _clusters(posted: DataFrame, coarse: DataFrame) -> DataFrame:
+    """``(node, cluster)``: the nodes that the estimate found near each other, and with them all nodes of wide lists in
+    which they are most. A wide list without such nodes is a cluster of its own."""
+    own = coarse.select("node", F.col("root").alias("cluster"))
+    big = posted.where("big").select("v", "node").join(own, "node", "left")
+    parts = big.groupBy("v", "cluster").agg(F.count("*").alias("c"), F.min("node").alias("low"))
+    most = F.max_by("cluster", F.when(F.col("cluster").isNotNull(), F.col("c")))
+    wide = parts.groupBy("v").agg(F.sum("c").alias("c"), F.coalesce(most, F.min("low")).alias("label")).where(F.col("c") >= WIDE)
+    return own.union(big.select("v", "node").join(wide, "v").select("node", "label")).distinct()
 
 
 def _to_the_rest(lists: DataFrame, percent: int) -> DataFrame:
@@ -305,11 +306,11 @@ def _to_the_rest(lists: DataFrame, percent: int) -> DataFrame:
     live = lists.join(open_.select("v", "most"), "v")
     own = live.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "v"))), lambda s: s["v"]).alias("values"))
     live = live.join(own, "node")
-    few = live.where("root <> most").select("v", F.col("node").alias("x"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("values").alias("w"), F.col("cluster").alias("c"))
+    few = live.where("root <> most").select("v", F.col("node").alias("x"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("values").alias("w"), F.col("clusters").alias("c"))
     similar = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     first = F.get(F.array_intersect("w", "values"), F.lit(0)) == F.col("first_v")
     few = few.withColumn("first_v", F.col("v"))
-    apart = (F.col("r") != F.col("root")) & F.coalesce(F.col("c") != F.col("cluster"), F.lit(True))
+    apart = (F.col("r") != F.col("root")) & F.coalesce(~F.arrays_overlap("c", "clusters"), F.lit(True))
     return few.join(live, (few["v"] == live["v"]) & apart & similar & first).select("x", F.col("node").alias("y"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import bpe, chat, decontamination, licenses, near_dedup, packing, pii, quality_rules, secrets, sharding
+from earshot.llm import answers, bpe, chat, decontamination, licenses, near_dedup, packing, pii, quality_rules, secrets, sharding
 from earshot.llm.scratch import Scratch
 from earshot.session import configure
 
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding_query,
     "op10_near_dedup": near_dedup_query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = answers.TEXTS
