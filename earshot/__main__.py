@@ -22,15 +22,17 @@ def main() -> None:
     parser.add_argument("--leak-free", action="store_true", help="keep the current play out of rolling means")
     args = parser.parse_args()
     spark = SparkSession.builder.appName(f"earshot {args.step}").getOrCreate()
-    if args.step == "clean":
-        paths = runs.clean_run(spark, args.source, args.out)
-    elif args.step == "features":
-        paths = runs.feature_run(spark, args.source, args.out, timedelta(minutes=args.gap_minutes), args.leak_free)
-    else:
-        paths = runs.model_run(spark, args.source, args.out)
-    drop_staged(spark)
-    print(json.dumps(paths, indent=2))
-    spark.stop()
+    try:
+        if args.step == "clean":
+            paths = runs.clean_run(spark, args.source, args.out)
+        elif args.step == "features":
+            paths = runs.feature_run(spark, args.source, args.out, timedelta(minutes=args.gap_minutes), args.leak_free)
+        else:
+            paths = runs.model_run(spark, args.source, args.out)
+        print(json.dumps(paths, indent=2))
+    finally:
+        drop_staged(spark)
+        spark.stop()
 
 
 if __name__ == "__main__":

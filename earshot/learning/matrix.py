@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from earshot.constants import BASIC_SKIP_FEATURES, SKIP_FEATURES
 from earshot.functions.numbers import round_signed
 from earshot.operators.features import add_length_flags, one_hot, select_available
+from earshot.operators.joins import join_on
 from earshot.operators.quality import unpivot_row
 
 GRAIN = 1000
@@ -53,7 +54,8 @@ def split(matrix: DataFrame, test: float = 0.2, key: str = "event_id", label: st
     earlier = by_class.orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     chosen = counts.select(label, "_u", (before < F.sum("_n").over(by_class) * test).alias("is_test"))
-    return drawn.join(F.broadcast(chosen), [label, "_u"]).drop("_u")
+    # null labels are a class, null keys a value
+    return join_on(drawn, F.broadcast(chosen), [label, "_u"]).drop("_u")
 
 
 def add_folds(train: DataFrame, folds: int = 5, key: str = "event_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,14 +11,21 @@ from pyspark.sql import functions as F
 from earshot.sources.staging import stage
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """A join on equal keys in which nulls match each other; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def attach(events: DataFrame, aggregate: DataFrame, keys: Sequence[str], name: str, how: str = "left") -> DataFrame:
     """Events with the aggregate's columns.
 
     The aggregate (one row per key) is staged, so Spark knows its size: under the broadcast
     threshold the events do not move at all, above it both sides are plain exchanges and a hot
-    key is split by adaptive skew handling.
+    key is split by adaptive skew handling. Null keys get the aggregate of the null key.
     """
-    return events.join(stage(aggregate, name), list(keys), how)
+    return join_on(events, stage(aggregate, name), keys, how)
 
 
 def with_columns(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:

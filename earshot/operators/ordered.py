@@ -47,16 +47,17 @@ class OrderedLog:
         even = min(-(-self.count // (4 * tasks)), 1_000_000)
         return max(even, CHUNK_FLOOR, -(-self.count // MAX_CHUNKS))
 
-    def _chunk_of(self) -> Column:
-        return F.expr(f"(row_index - 1) div {self.chunk}")
+    def _chunk_of(self, chunk: int | None = None) -> Column:
+        return F.expr(f"(row_index - 1) div {chunk or self.chunk}")
 
     def history(self, columns: dict[str, Callable[[WindowSpec], Column]], reach: int) -> DataFrame:
         """Window columns that look back at most ``reach`` rows (within the key, if there is one)."""
-        if not 0 < reach <= self.chunk:
-            raise ValueError("reach must be positive and fit in a chunk")
-        near_end = (F.col("row_index") - 1) % self.chunk >= self.chunk - reach
+        if reach <= 0:
+            raise ValueError("reach must be positive")
+        chunk = max(self.chunk, reach)
+        near_end = (F.col("row_index") - 1) % chunk >= chunk - reach
         home = F.col("_home")
-        placed = self.rows.withColumn("_home", self._chunk_of()).withColumn(
+        placed = self.rows.withColumn("_home", self._chunk_of(chunk)).withColumn(
             "_chunk", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)))
         )
         w = Window.partitionBy("_chunk", *self.keys).orderBy("row_index")

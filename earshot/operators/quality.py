@@ -111,8 +111,8 @@ def ts_range(df: DataFrame, now: str, floor: str = OLDEST_PLAUSIBLE, ts: str = "
 
 
 def domain_violations(df: DataFrame, col: str = "platform", allowed: Sequence[str] = KNOWN_PLATFORMS) -> DataFrame:
-    """Each value outside the list, with its row count."""
-    return df.where(~F.col(col).isin(*allowed)).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    """Each value outside the list, null among them, with its row count."""
+    return df.where(~F.coalesce(F.col(col).isin(*allowed), F.lit(False))).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
 
 
 def rule_violations(df: DataFrame, rule: Column | None = None) -> DataFrame:

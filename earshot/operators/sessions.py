@@ -14,18 +14,18 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from earshot import constants as K
 from earshot.functions.numbers import exact_mean, flag, ratio, right_closed_bin, round_half_even, round_half_up
 from earshot.functions.times import day_part, micros_between, minutes_between
-from earshot.operators.joins import attach, normalise_by_max
+from earshot.operators.joins import attach, join_on, normalise_by_max
 from earshot.operators.ordered import order_log, previous
 from earshot.sources.staging import stage
 
 GAP = timedelta(minutes=K.SESSION_GAP_MINUTES)
 SPAN_BUCKETS = 4096
-BROADCAST_ROWS = 500_000
 
 
 def _gap_micros(gap: timedelta) -> int:
@@ -41,32 +41,41 @@ def session_buckets(events: DataFrame, gap: timedelta = GAP, keys: Sequence[str]
     """First and last time of each (keys, bucket), and the play that opens it; combined before the shuffle."""
     return (
         events.groupBy(*keys, time_bucket(ts, gap).alias("_bucket"))
-        .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.min(F.struct(ts, tiebreak)).alias("_opener"))
-        .withColumn("_opener", F.col(f"_opener.{tiebreak}"))
+        .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), _opener(events, ts, tiebreak).alias("_opener"))
     )
 
 
+def _opener(events: DataFrame, ts: str, tiebreak: str) -> Column:
+    """The tie-break of the earliest play. Whole-number ones are packed behind the time into one decimal: unlike a
+    struct that is a hash aggregate, so plays are not sorted."""
+    if not isinstance(events.schema[tiebreak].dataType, T.IntegralType):
+        return F.min(F.struct(ts, tiebreak))[tiebreak]
+    whole, shift = "decimal(20,0)", F.lit("18446744073709551616").cast("decimal(20,0)")
+    up = F.lit(1 << 62).cast(whole) + F.lit(1 << 62).cast(whole)
+    packed = (F.unix_micros(ts).cast(whole) * shift + (F.col(tiebreak).cast(whole) + up)).cast("decimal(38,0)")
+    return (F.pmod(F.min(packed), shift.cast("decimal(38,0)")) - up).cast(events.schema[tiebreak].dataType)
+
+
 def session_map(buckets: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, bucket) -> session_id; ids count from 1, per key if there are keys.
 
-    ``buckets`` should be staged: it is read more than once and its size is checked. Broadcast up
-    to ``BROADCAST_ROWS``; a larger map is numbered in two levels and staged for a sized join.
+    ``buckets`` should be staged, as it is read more than once. Over the whole log it is numbered in two levels;
+    with keys, one key's buckets are at most the span over the gap. The map is staged, so Spark knows its size
+    when it picks the join.
     """
     width = _gap_micros(gap)
 
     def starts(prev: Column) -> Column:
         return F.when(prev.isNull() | (micros_between(prev, F.col("_first")) > width), 1).otherwise(0)
 
-    small = buckets.count() <= BROADCAST_ROWS
-    if keys or small:
-        # per key, and over the whole log when checked small, at most one row per bucket of the span
+    if keys:
         w = Window.partitionBy(*keys).orderBy("_bucket")
         marked = buckets.withColumn("_starts", starts(F.lag("_last").over(w)))
         numbered = marked.withColumn("session_id", F.sum("_starts").over(w))
     else:
         numbered = _number_in_spans(buckets, starts)
     mapped = numbered.select(*keys, "_bucket", "_opener", "_starts", F.col("session_id").cast("bigint").alias("session_id"))
-    return F.broadcast(mapped) if small else stage(mapped, "session_map")
+    return stage(mapped, "session_map")
 
 
 def _number_in_spans(buckets: DataFrame, starts: Callable[[Column], Column]) -> DataFrame:
@@ -86,7 +95,7 @@ def _number_in_spans(buckets: DataFrame, starts: Callable[[Column], Column]) ->
 
 def join_sessions(events: DataFrame, mapped: DataFrame, gap: timedelta = GAP, keys: Sequence[str] = (), ts: str = "timestamp", tiebreak: str = "event_id") -> DataFrame:
     """Adds ``session_id`` and ``is_session_start`` from a bucket map."""
-    joined = events.withColumn("_bucket", time_bucket(ts, gap)).join(mapped, [*keys, "_bucket"])
+    joined = join_on(events.withColumn("_bucket", time_bucket(ts, gap)), mapped, [*keys, "_bucket"], "inner")
     opens = (F.col("_starts") == 1) & (F.col(tiebreak) == F.col("_opener"))
     return joined.withColumn("is_session_start", opens).drop("_bucket", "_opener", "_starts")
 

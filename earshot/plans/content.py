@@ -12,7 +12,6 @@ from earshot.operators.ranking import add_ntile, add_ranks
 from earshot.plans import measures as m
 from earshot.sources.staging import stage
 
-WINDOW_ROWS = 1_000_000
 
 
 def top_tracks(plays: DataFrame, min_plays: int = 5, k: int = 20) -> DataFrame:
@@ -103,21 +102,6 @@ def artist_performance(plays: DataFrame, min_plays: int = 20) -> DataFrame:
     return scored.select(*names, score.alias("engagement_score"))
 
 
-def _ranked_by_windows(artists: DataFrame) -> DataFrame:
-    def by(*order) -> Window:
-        return Window.orderBy(*order)
-
-    return artists.withColumns({
-        "plays_quintile": F.ntile(5).over(by("total_plays", "artist_name")),
-        "plays_rank": F.rank().over(by(F.desc("total_plays"))),
-        "plays_share": F.percent_rank().over(by("total_plays")),
-        "hours_rank": F.rank().over(by(F.desc("total_hours"))),
-        "engagement_rank": F.rank().over(by("skip_rate_pct")),
-        "skip_share": F.percent_rank().over(by(F.desc("skip_rate_pct"))),
-        "completion_share": F.percent_rank().over(by("avg_percent_played")),
-    })
-
-
 def _ranked_by_counts(artists: DataFrame) -> DataFrame:
     return (
         artists.transform(add_ntile, 5, ["total_plays", "artist_name"], "plays_quintile")
@@ -130,14 +114,13 @@ def _ranked_by_counts(artists: DataFrame) -> DataFrame:
     )
 
 
-def artist_ranking(plays: DataFrame, min_plays: int = 10, k: int = 20, window_rows: int = WINDOW_ROWS) -> DataFrame:
+def artist_ranking(plays: DataFrame, min_plays: int = 10, k: int = 20) -> DataFrame:
     """Ranks, quintiles and a composite score of artists; the ``k`` best by score.
 
-    The artist table is staged and counted: up to ``window_rows`` plain windows sort it in one
-    task, a larger one is ranked from value counts and a range-partitioned index.
+    The artist table is staged and ranked from value counts and a range-partitioned index.
     """
     artists = stage(artist_totals(plays, min_plays), "artist_totals")
-    ranked = _ranked_by_windows(artists) if artists.count() <= window_rows else _ranked_by_counts(artists)
+    ranked = _ranked_by_counts(artists)
     score = F.col("plays_share") * 0.3 + F.col("completion_share") * 0.4 + F.col("skip_share") * 0.3
     return (
         ranked.select(

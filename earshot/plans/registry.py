@@ -23,8 +23,6 @@ from earshot.streaming import jobs
 # Ten-minute gaps give many sessions on the test tables; per listener the log is sparser.
 GAP = timedelta(minutes=10)
 LISTENER_GAP = timedelta(hours=6)
-PLATFORMS = ("android", "iOS", "mac", "web player", "windows")
-
 Query = Callable[[Workspace], DataFrame]
 
 
@@ -57,10 +55,33 @@ def _write_report(ws: Workspace) -> DataFrame:
     return readers.read_stage(ws.spark, path, "csv", report.schema)
 
 
+def _odd_platforms(ws: Workspace) -> DataFrame:
+    """Plays of which some have a rare platform or none."""
+    kind = F.col("event_id") % 10
+    return ws.plays.withColumn("platform", F.when(kind == 3, "cast to device").when(kind != 7, F.col("platform")))
+
+
+def _read_quoted(ws: Workspace) -> DataFrame:
+    """A raw file with quotes, commas and line breaks in names, columns in another order, and one more."""
+    n = F.col("event_id") % 4
+    name = F.when(n == 0, F.concat(F.lit('"'), "track_name", F.lit('", Pt. 1'))).when(n == 1, F.concat("track_name", F.lit("\nlive, twice")))
+    odd = ws.dirty.withColumn("track_name", F.coalesce(name, "track_name")).withColumn("extra", F.lit('a,"b"')).withColumnRenamed("track_uri", "spotify_track_uri")
+    shuffled = odd.select(*sorted(odd.columns, reverse=True))
+    path = sinks.write_stage(shuffled, stage_path(ws.spark, "quoted"), "csv")
+    return readers.read_plays(ws.spark, path, ("event_id", *K.RAW_COLUMNS))
+
+
+def _validated_file(ws: Workspace) -> DataFrame:
+    """Names as a file's header gives them."""
+    path = sinks.write_stage(ws.dirty, stage_path(ws.spark, "raw"), "csv")
+    return readers.validate_schema(ws.spark.read.options(**readers.csv_options()).csv(path)).select("event_id", "track_uri", "ts", "ms_played")
+
+
 SOURCES: dict[str, Query] = {
+    "src1_quoted_csv": _read_quoted,
     "src1_read_plays": _read_plays,
     "src2_read_stage": _read_stage,
-    "src3_validate_schema": lambda ws: readers.validate_schema(ws.dirty).select("event_id", "track_uri", "ts", "ms_played"),
+    "src3_validate_schema": _validated_file,
     "snk1_write_stage": _write_stage,
     "snk2_write_report": _write_report,
     "snk5_audit_log": lambda ws: quality.audit_log(ws.dirty),
@@ -354,8 +375,8 @@ REPORTS: dict[str, Query] = {
     "ag38_switch_rate": lambda ws: platforms.switch_rate(ws.log),
     "pv1_weekday_hour": lambda ws: pivots.pivot_counts(ws.plays, "day_of_week_num", "hour_of_day", range(24), "h"),
     "pv2_platform_time_share": lambda ws: pivots.pivot_share(ws.plays, "platform", "time_of_day", K.DAY_PARTS),
-    "pv3_hour_platform": lambda ws: pivots.pivot_counts(ws.plays, "hour_of_day", "platform", PLATFORMS),
-    "pv4_time_platform_share": lambda ws: pivots.pivot_share(ws.plays, "time_of_day", "platform", PLATFORMS),
+    "pv3_hour_platform": lambda ws: pivots.cross_counts(_odd_platforms(ws), "hour_of_day", "platform"),
+    "pv4_time_platform_share": lambda ws: pivots.cross_shares(_odd_platforms(ws), "time_of_day", "platform"),
     "wn1_trailing_avg": lambda ws: activity.rolling_report(ws.plays),
     "wn2_centred_avg": lambda ws: activity.centred_report(ws.plays),
     "wn2_retention_table": lambda ws: _rounded(activity.retention_table(ws.plays), 6, "daily_minutes"),
@@ -553,18 +574,23 @@ def _stream(ws: Workspace, table: DataFrame, name: str) -> DataFrame:
     return jobs.read_stream(ws.spark, folder, table)
 
 
+def _drained(ws: Workspace, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """All groups of the plays as a stream that ends."""
+    plays = ws.plays.select(*_STREAMED)
+    folder = sinks.write_stage(plays, stage_path(ws.spark, "stream_in"))
+    return jobs.run_to_table(job(jobs.read_stream(ws.spark, folder, plays)), name, lambda: jobs.close_stream(folder, plays))
+
+
 _STREAMED = ("event_id", "user_id", "timestamp", "ms_played", "is_skip")
 
 STREAMS: dict[str, Query] = {
-    "xs1_stream_sessions": lambda ws: _rounded(jobs.run_to_table(
-        jobs.stream_sessions(_stream(ws, ws.plays.select(*_STREAMED), "stream_in"), gap="6 hours"), "stream_sessions"
-    ), 6, "minutes", "skip_rate"),
-    "xs2_stream_kpis": lambda ws: _rounded(jobs.run_to_table(
-        jobs.stream_kpis(_stream(ws, ws.plays.select(*_STREAMED), "stream_in")), "stream_kpis"
-    ), 6, "skip_rate", "hours"),
-    "xs2_stream_kpis_sliding": lambda ws: _rounded(jobs.run_to_table(
-        jobs.stream_kpis(_stream(ws, ws.plays.select(*_STREAMED), "stream_in"), "1 hour", "30 minutes"), "stream_kpis"
-    ), 6, "skip_rate", "hours"),
+    "xs1_stream_sessions": lambda ws: _rounded(
+        _drained(ws, lambda plays: jobs.stream_sessions(plays, gap="6 hours"), "stream_sessions"), 6, "minutes", "skip_rate"
+    ),
+    "xs2_stream_kpis": lambda ws: _rounded(_drained(ws, jobs.stream_kpis, "stream_kpis"), 6, "skip_rate", "hours"),
+    "xs2_stream_kpis_sliding": lambda ws: _rounded(
+        _drained(ws, lambda plays: jobs.stream_kpis(plays, "1 hour", "30 minutes"), "stream_kpis"), 6, "skip_rate", "hours"
+    ),
     "xs3_stream_dedupe": lambda ws: jobs.run_to_table(
         jobs.stream_dedupe(_stream(ws, cleaning.parse_ts(ws.dirty).select("event_id", "timestamp", "track_uri"), "stream_in")),
         "stream_dedupe",

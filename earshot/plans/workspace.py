@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +30,25 @@ class Workspace:
         self.sf_dir = sf_dir.rstrip("/")
         self.gap = gap
 
+    def _key(self, name: str) -> tuple[str, str, str]:
+        """A changed input is another input."""
+        return self.spark.sparkContext.applicationId, self._print, name
+
+    @cached_property
+    def _print(self) -> str:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return ";".join([self.sf_dir, *sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files)])
+
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = self._key(name)
         if key not in _staged:
             _staged[key] = stage(make(), name)
         return _staged[key]
 
     def keep(self, name: str, make: Callable[[], Any]) -> Any:
         """Fitted models and the like, made once."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = self._key(name)
         if key not in _kept:
             _kept[key] = make()
         return _kept[key]

@@ -19,9 +19,27 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_plays(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Raw log as text columns, named by position; typing is the cleaner's work, so no inference pass."""
-    return spark.read.schema(text_schema(columns)).csv(path, header=True, enforceSchema=True)
+#: Names that exported logs use for a required column.
+ALIASES = {"spotify_track_uri": "track_uri"}
+
+
+def csv_options(line_breaks: bool = True) -> dict[str, str | bool]:
+    """RFC 4180: quotes inside a quoted field are doubled. Files whose quoted fields hold no line breaks can be read
+    without ``line_breaks``, which lets Spark split large ones."""
+    return {"header": True, "quote": '"', "escape": '"', "multiLine": line_breaks, "enforceSchema": False}
+
+
+def read_plays(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS, line_breaks: bool = True) -> DataFrame:
+    """Raw log as text columns, found by the names in the header, whatever their order and whatever else there is.
+
+    Typing is the cleaner's work, so no inference pass. Files of one folder must agree in their header; a missing
+    column raises ``MissingColumns``.
+    """
+    options = csv_options(line_breaks)
+    names = spark.read.options(**options).csv(path).columns
+    raw = spark.read.schema(text_schema(names)).options(**options).csv(path)
+    named = raw.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in names and b not in names})
+    return validate_schema(named, columns).select(*columns)
 
 
 def read_stage(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -30,7 +48,7 @@ def read_stage(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
         return spark.read.parquet(path)
     if schema is None:
         raise ValueError("reading a CSV stage needs a schema")
-    as_text = spark.read.schema(text_schema(schema.names)).csv(path, header=True)
+    as_text = read_plays(spark, path, schema.names)
     typed = [
         F.expr(f"try_to_timestamp(`{f.name}`)").alias(f.name)
         if isinstance(f.dataType, T.TimestampType)

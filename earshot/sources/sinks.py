@@ -11,9 +11,9 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     """Event-sized table; ``partition_by`` (a date, say) lets later filters prune files."""
     writer = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
     if fmt == "csv":
-        # text goes out as it is: the writer would trim it
+        # text goes out as it is: the writer would trim it; quotes are doubled
         writer.options(
-            timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+            timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         ).csv(path, header=True)
     else:
         writer.format(fmt).save(path)

@@ -6,7 +6,7 @@ there into a Parquet table. State is bounded by the watermark.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -60,16 +60,28 @@ def stream_score(plays: DataFrame, model: PipelineModel) -> DataFrame:
     return score(model, plays)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available in append mode and read the written table."""
+def close_stream(folder: str, like: DataFrame, ts: str = "timestamp") -> None:
+    """End an input folder by one row of far later time. It moves the watermark past everything before it, so that
+    all groups become final; its own group never does."""
+    spark = like.sparkSession
+    far = F.lit("9999-01-01").cast(like.schema[ts].dataType)
+    spark.range(1).select(*[(far if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema]).write.mode("append").parquet(folder)
+
+
+def run_to_table(stream: DataFrame, name: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Process everything available in append mode and read the written table. With ``close``, which ends the input,
+    the query runs on until the groups that were still open are written too."""
     spark = stream.sparkSession
     path = stage_path(spark, name)
-    query = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", f"{path}-checkpoint")
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
+    for end in (None, close) if close else (None,):
+        if end:
+            end()
+        query = (
+            stream.writeStream.outputMode("append")
+            .format("parquet")
+            .option("checkpointLocation", f"{path}-checkpoint")
+            .trigger(availableNow=True)
+            .start(path)
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -38,10 +38,16 @@ TEXTS = {
     "src1_read_plays": over_dirty(
         f"SELECT CAST(event_id AS VARCHAR) AS event_id, {RAW.replace('platform', NULL_PLATFORM)} FROM dirty"
     ),
+    "src1_quoted_csv": over_dirty(
+        f"""SELECT CAST(event_id AS VARCHAR) AS event_id, {RAW.replace('platform', NULL_PLATFORM)}
+ FROM (SELECT * REPLACE (CASE event_id % 4 WHEN 0 THEN '"' || track_name || '", Pt. 1' WHEN 1 THEN track_name || chr(10) || 'live, twice' ELSE track_name END AS track_name) FROM dirty)"""
+    ),
     "src2_read_stage": over_sessions(
         'SELECT session_id, "timestamp", track_uri, platform, seconds_played, is_skip, time_of_day, day_of_week, event_id FROM sessions'
     ),
-    "src3_validate_schema": over_dirty("SELECT event_id, track_uri, ts, ms_played FROM dirty"),
+    "src3_validate_schema": over_dirty(
+        "SELECT CAST(event_id AS VARCHAR) AS event_id, track_uri, ts, CAST(ms_played AS VARCHAR) AS ms_played FROM dirty"
+    ),
     "snk1_write_stage": over_plays("SELECT event_id, date, platform, ms_played, is_skip, listening_quality FROM plays"),
     "snk5_audit_log": over_dirty(
         f"""SELECT 'rows' AS step, step AS metric, n_rows AS value FROM ({_TRAIL})

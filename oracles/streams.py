@@ -1,15 +1,12 @@
-"""What streams emit in append mode: groups the watermark has passed."""
+"""What streams give once their input has ended: the same as the batch."""
 
 from oracles.base import MS, SKIP, over_dirty, over_plays, r
 
-# The watermark is the latest time, to the millisecond, less one hour.
-_MARK = "(SELECT date_trunc('milliseconds', max(\"timestamp\")) - interval '1' hour FROM plays)"
-
 
 def _windows(starts: str) -> str:
     return over_plays(
         f"""SELECT s AS window_start, s + interval '1' hour AS window_end, count(*) AS plays, {r(f'avg({SKIP})', 6)} AS skip_rate, {r(f'{MS} / 3.6e6', 6)} AS hours
- FROM (SELECT *, {starts} AS s FROM plays) GROUP BY s HAVING s + interval '1' hour <= {_MARK}"""
+ FROM (SELECT *, {starts} AS s FROM plays) GROUP BY s"""
     )
 
 
@@ -20,7 +17,7 @@ TEXTS = {
  SELECT *, sum(CASE WHEN p IS NULL OR "timestamp" - p > interval '6' hour THEN 1 ELSE 0 END)
    OVER (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS sid
  FROM (SELECT *, lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp", event_id) AS p FROM plays))
- GROUP BY user_id, sid HAVING max("timestamp") + interval '6' hour <= {_MARK}"""
+ GROUP BY user_id, sid"""
     ),
     "xs2_stream_kpis": _windows("date_trunc('hour', \"timestamp\")"),
     "xs2_stream_kpis_sliding": _windows(

@@ -48,3 +48,13 @@ def test_sql_users_find_their_views(spark, small_dir):
 def test_csv_stage_needs_a_schema(spark, out):
     with pytest.raises(ValueError):
         readers.read_stage(spark, out["audit"], "csv")
+
+
+def test_csv_is_read_by_header(spark, tmp_path):
+    from earshot.sources.plays import MissingColumns, read_plays
+
+    (tmp_path / "a.csv").write_text('artist_name,ts,extra,spotify_track_uri\n"Bowie, D.","01-01-2024 10:00","x",t:1\n"""Heroes"", Pt. 1\nlive",,,t:2\n')
+    rows = read_plays(spark, str(tmp_path), ("track_uri", "ts", "artist_name")).collect()
+    assert sorted(tuple(r) for r in rows) == [("t:1", "01-01-2024 10:00", "Bowie, D."), ("t:2", None, '"Heroes", Pt. 1\nlive')]
+    with pytest.raises(MissingColumns):
+        runs.clean_run(spark, str(tmp_path), str(tmp_path / "out"))

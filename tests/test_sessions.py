@@ -27,10 +27,8 @@ def test_equal_times_start_one_session(plays_of):
 
 
 @pytest.mark.parametrize("keys", [(), ("user_id",)])
-@pytest.mark.parametrize("limit", [0, 500_000])
-def test_random_logs_equal_plain_windows(plays_of, monkeypatch, keys, limit):
-    """Both the broadcast map and the two-level one, with few buckets per span."""
-    monkeypatch.setattr(sessions, "BROADCAST_ROWS", limit)
+def test_random_logs_equal_plain_windows(plays_of, monkeypatch, keys):
+    """With few buckets per span."""
     monkeypatch.setattr(sessions, "SPAN_BUCKETS", 3)
     random.seed(3)
     at = 0
@@ -92,3 +90,16 @@ def test_score_classes_and_shares(spark):
     scored = sessions.session_score(df)
     assert {r.session_id: r.quality_category for r in scored.collect()} == {1: "High", 2: "Low", 3: "Medium"}
     assert sum(r.pct for r in session_reports.score_shares(scored).collect()) == pytest.approx(100, abs=0.01)
+
+
+def test_null_keys_are_a_key(plays_of):
+    df = plays_of([(1, None, "2024-01-01 10:00:00"), (2, None, "2024-01-01 10:05:00"), (3, 7, "2024-01-01 10:06:00"), (4, None, "2024-01-01 12:00:00")])
+    out = {r.event_id: (r.session_id, r.is_session_start) for r in sessions.assign_sessions(df, keys=["user_id"]).collect()}
+    assert out == {1: (1, True), 2: (1, False), 3: (1, True), 4: (2, True)}
+
+
+def test_openers_need_no_sort_of_plays(plays_of):
+    buckets = sessions.session_buckets(plays_of([(-5, 1, "2024-01-01 10:00:00"), (-9, 1, "2024-01-01 10:00:00"), (3, 1, "1960-01-01 10:00:00")]))
+    plan = buckets._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert sorted(r._opener for r in buckets.collect()) == [-9, 3]

@@ -44,3 +44,11 @@ def test_kpi_windows_equal_batch(spark, plays):
     rows = out.collect()
     assert rows and all(counts[r.window_start] == r.plays for r in rows)
     assert len(counts) - len(rows) <= 3
+
+
+def test_ended_streams_equal_batch(spark, plays):
+    folder = write_stage(plays, stage_path(spark, "stream_in"))
+    stream = jobs.stream_kpis(jobs.read_stream(spark, folder, plays))
+    out = jobs.run_to_table(stream, "t_closed", lambda: jobs.close_stream(folder, plays))
+    batch = plays.groupBy(F.window("timestamp", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    assert {r.window_start: r.plays for r in out.collect()} == {r.w.start: r.n for r in batch.collect()}
