@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from earshot import constants as K
 from earshot.functions.numbers import exact_mean, exact_sum, flag, right_closed_bin, round_half_even
 from earshot.functions.times import whole_days_between
-from earshot.operators.joins import attach
+from earshot.operators.joins import attach, with_distinct, with_modes
 
 ENTITY = ("track_uri",)
 
@@ -29,9 +29,9 @@ def entity_stats(plays: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
         round_half_even(exact_mean(F.col("percent_played")), 3).alias("avg_completion"),
         round_half_even(exact_mean(F.col("engagement_score")), 3).alias("avg_engagement"),
         round_half_even(F.avg(flag(F.col("shuffle"))), 3).alias("shuffle_rate"),
-        F.mode("platform", True).alias("preferred_platform"),
         round_half_even(F.sum("ms_played") / 1e3, 3).alias("total_seconds"),
     )
+    stats = with_modes(stats, plays, entity, {"preferred_platform": "platform"})
     days = whole_days_between(F.col("first_play"), F.col("last_play")) + 1
     return stats.withColumn("lifespan_days", days).withColumn("frequency", F.col("play_count") / F.col("lifespan_days"))
 
@@ -167,12 +167,11 @@ def cluster_profile(sessions: DataFrame, entity: Sequence[str] = ENTITY, min_pla
         round_half_even(exact_mean(F.col("percent_played")), 3).alias("avg_completion"),
         round_half_even(exact_mean(F.col("engagement_score")), 3).alias("avg_engagement"),
         round_half_even(F.avg(flag(F.col("shuffle"))), 3).alias("shuffle_rate"),
-        F.mode("platform", True).alias("preferred_platform"),
-        F.mode("time_of_day", True).alias("preferred_time"),
-        F.countDistinct("session_id").alias("total_sessions"),
-        F.countDistinct("artist_name").alias("artist_diversity"),
-        F.countDistinct("track_name").alias("track_diversity"),
     ).where(F.col("total_plays") >= min_plays)
+    grouped = with_modes(grouped, sessions, entity, {"preferred_platform": "platform", "preferred_time": "time_of_day"})
+    grouped = with_distinct(
+        grouped, sessions, entity, {"total_sessions": "session_id", "artist_diversity": "artist_name", "track_diversity": "track_name"}
+    )
     return grouped.withColumn("total_minutes", F.col("total_seconds") / 60).withColumns({
         "avg_session_length": F.col("total_plays") / F.col("total_sessions"),
         "listening_intensity": F.col("total_minutes") / F.col("total_sessions"),
@@ -188,10 +187,9 @@ def entity_profile(plays: DataFrame, entity: Sequence[str] = ENTITY, min_plays:
         _skip3().alias("skip_rate"),
         round_half_even(exact_mean(F.col("percent_played")), 3).alias("avg_percent_played"),
         round_half_even(F.avg(flag(F.col("shuffle"))), 3).alias("shuffle_rate"),
-        F.mode("hour_of_day", True).alias("preferred_hour"),
-        F.mode("platform", True).alias("preferred_platform"),
         round_half_even(F.avg("day_of_week_num"), 3).alias("avg_day_of_week"),
     ).where(F.col("play_count") >= min_plays)
+    grouped = with_modes(grouped, plays, entity, {"preferred_hour": "hour_of_day", "preferred_platform": "platform"})
     return grouped.withColumns({
         "total_minutes": F.col("total_seconds") / 60,
         "engagement_score": F.col("avg_percent_played") * (1 - F.col("skip_rate")),

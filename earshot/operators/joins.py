@@ -28,6 +28,29 @@ def attach(events: DataFrame, aggregate: DataFrame, keys: Sequence[str], name: s
     return join_on(events, stage(aggregate, name), keys, how)
 
 
+def with_modes(grouped: DataFrame, rows: DataFrame, keys: Sequence[str], modes: dict[str, str]) -> DataFrame:
+    """Adds, per key, the most frequent value of a column (ties: the smallest; nulls don't count) as ``{name: column}``.
+
+    Rows are counted per key and value first, combined map-side, so that only counts meet per key: a mode over the
+    rows themselves would sort them once a task has seen many keys.
+    """
+    for name, col in modes.items():
+        counts = rows.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
+        best = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(col).alias("v"))).alias("_best"))
+        grouped = join_on(grouped, best.select(*keys, F.col("_best.v").alias(name)), keys)
+    return grouped
+
+
+def with_distinct(grouped: DataFrame, rows: DataFrame, keys: Sequence[str], counts: dict[str, str]) -> DataFrame:
+    """Adds, per key, how many values a column has (nulls don't count) as ``{name: column}``, by two hash aggregates
+    for each instead of one pass that repeats every row."""
+    for name, col in counts.items():
+        values = rows.where(F.col(col).isNotNull()).select(*keys, col).distinct()
+        found = values.groupBy(*keys).agg(F.count("*").alias(name))
+        grouped = join_on(grouped, found, keys).withColumn(name, F.coalesce(name, F.lit(0)))
+    return grouped
+
+
 def with_columns(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """Side-by-side columns: a projection, no join."""
     return df.withColumns(exprs)

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from earshot import constants as K
 from earshot.functions.numbers import exact_mean, flag, ratio, right_closed_bin, round_half_even, round_half_up
 from earshot.functions.times import day_part, micros_between, minutes_between
-from earshot.operators.joins import attach, join_on, normalise_by_max
+from earshot.operators.joins import attach, join_on, normalise_by_max, with_distinct, with_modes
 from earshot.operators.ordered import order_log, previous
 from earshot.sources.staging import stage
 
@@ -149,8 +149,8 @@ def session_report(sessions: DataFrame, min_tracks: int = 2, k: int = 50) -> Dat
         *_times(),
         F.sum("ms_played").alias("ms"),
         F.avg(flag(F.col("is_skip"))).alias("skip"),
-        F.mode("platform", True).alias("primary_platform"),
     ).where(F.col("n") >= min_tracks)
+    grouped = with_modes(grouped, sessions, ["session_id"], {"primary_platform": "platform"})
     return grouped.select(
         "session_id",
         "session_start",
@@ -167,14 +167,13 @@ def session_metrics(sessions: DataFrame, min_tracks: int = 2) -> DataFrame:
     """The full session table, 18 columns."""
     grouped = sessions.groupBy("session_id").agg(
         *_times(),
-        F.countDistinct("track_uri").alias("unique_tracks"),
-        F.countDistinct("artist_name").alias("unique_artists"),
         F.sum("ms_played").alias("ms"),
         F.avg(flag(F.col("is_skip"))).alias("skip"),
         exact_mean(F.col("percent_played")).alias("pct"),
-        F.mode("platform", True).alias("primary_platform"),
         F.avg(flag(F.col("shuffle"))).alias("shuffled"),
     ).where(F.col("n") >= min_tracks)
+    grouped = with_modes(grouped, sessions, ["session_id"], {"primary_platform": "platform"})
+    grouped = with_distinct(grouped, sessions, ["session_id"], {"unique_tracks": "track_uri", "unique_artists": "artist_name"})
     n, pct, skip = F.col("n"), F.col("pct"), F.col("skip")
     span = micros_between(F.col("session_start"), F.col("session_end"))
     quality = (
@@ -211,8 +210,8 @@ def session_stats(sessions: DataFrame) -> DataFrame:
         *_times(),
         F.sum("ms_played").alias("ms"),
         F.avg(flag(F.col("is_skip"))).alias("skip"),
-        F.mode("platform", True).alias("primary_platform"),
     )
+    grouped = with_modes(grouped, sessions, ["session_id"], {"primary_platform": "platform"})
     return grouped.select(
         "session_id",
         "session_start",

@@ -352,8 +352,8 @@ REPORTS: dict[str, Query] = {
     "ag21_popularity": lambda ws: entities.attach_content(ws.plays).select("event_id", "track_popularity", "artist_popularity"),
     "ag22_cluster_profile": lambda ws: entities.cluster_profile(ws.sessions),
     "ag23_entity_profile": lambda ws: entities.entity_profile(ws.plays),
-    "ag24_mode": lambda ws: ws.plays.groupBy("artist_name").agg(
-        *[F.mode(c, True).alias(c) for c in ("platform", "reason_start", "hour_of_day")]
+    "ag24_mode": lambda ws: joins.with_modes(
+        ws.plays.select("artist_name").distinct(), ws.plays, ["artist_name"], {c: c for c in ("platform", "reason_start", "hour_of_day")}
     ),
     "ag25_rollup_report": lambda ws: platforms.rollup_report(ws.plays),
     "ag26_cube_report": lambda ws: platforms.cube_report(ws.plays),

@@ -24,10 +24,11 @@ def with_cohort(plays: DataFrame, entity: str = "track_uri") -> DataFrame:
 def cohort_retention(plays: DataFrame, entity: str = "track_uri", max_offset: int = 8) -> DataFrame:
     """Active entities per cohort and week offset, as a share of the cohort's first row.
 
-    An entity's active weeks fit in one small set (calendar-bounded) that is combined before the
-    only event shuffle; its smallest member is the cohort, so events are not joined to anything.
+    Events are reduced to distinct (entity, week) before their only shuffle, by hash aggregates. An entity's weeks
+    are then few (calendar-bounded): their smallest is its cohort, so events are not joined to anything.
     """
-    weeks = plays.groupBy(entity).agg(F.collect_set(week_start(F.col("timestamp"))).alias("weeks"))
+    active = plays.select(entity, week_start(F.col("timestamp")).alias("week")).distinct()
+    weeks = active.groupBy(entity).agg(F.collect_list("week").alias("weeks"))
     active = weeks.select(F.array_min("weeks").alias("cohort_week"), F.explode("weeks").alias("week"))
     offset = (F.datediff("week", "cohort_week") / 7).cast("bigint")
     table = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.joins import attach
+from earshot.operators.joins import attach, with_modes
 from earshot.plans import measures as m
 from earshot.sources.staging import stage
 
@@ -19,12 +19,12 @@ def track_history(plays: DataFrame) -> DataFrame:
 
 
 def entity_behaviour(plays: DataFrame, entity: str = "track_uri") -> DataFrame:
-    return plays.groupBy(entity).agg(
+    stats = plays.groupBy(entity).agg(
         m.plays().alias("user_total_plays"),
         m.skip_pct().alias("user_skip_tendency"),
         m.completion().alias("user_avg_completion"),
-        F.mode("platform", True).alias("preferred_platform"),
     )
+    return with_modes(stats, plays, [entity], {"preferred_platform": "platform"})
 
 
 def _class(x: Column, high: float, medium: float, labels: tuple[str, str, str]) -> Column:
