@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from earshot.llm.scratch import Scratch
 
+#: Shuffle partitions for each file of links.
+SHARE = 8
+
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; the root is the smallest node reachable.
@@ -16,20 +19,21 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     very many links is grouped with map-side combining and joined, never gathered. No link, no row; loops
     and repeated links do not matter.
     """
-    edges = scratch.stage(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
+    # link tables are much smaller than what the shuffles are sized for
+    files = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARE)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = scratch.stage(edges.coalesce(files), "links")
     before = _print(edges)
     while True:
         # large star: neighbours above u move to the smallest of u and its neighbours
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.stage(large.where("u <> v").distinct(), "large_star")
+        large = scratch.stage(large.where("u <> v").distinct().coalesce(files), "large_star")
         # small star: u and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        small = scratch.stage(moved.where("u <> v").distinct(), "small_star")
+        small = scratch.stage(moved.where("u <> v").distinct().coalesce(files), "small_star")
         scratch.drop(large)
         after = _print(small)
         same, before = after == before, after

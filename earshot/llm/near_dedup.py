@@ -24,7 +24,6 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -213,39 +212,21 @@ class _Search:
     def components(self) -> DataFrame:
         stage, drop = self.scratch.stage, self.scratch.drop
         posted = stage(self.postings(), "postings")
-        tried, near, links = [], [], []
-        root = None
-
-        def compare(found: DataFrame) -> None:
-            nonlocal root
-            pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            for earlier in tried:
-                pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-            tried.append(stage(pairs, "pairs"))
-            likely, found = self.linked(tried[-1])
-            near.append(likely)
-            links.append(found)
-            join()
-
-        def join() -> None:
-            nonlocal root
-            old, root = root, stage(components(reduce(DataFrame.union, links), self.scratch), "roots")
-            if old is not None:
-                drop(old)
-
-        def lists() -> DataFrame:
-            known = posted if root is None else posted.join(root, "node", "left")
-            return known.withColumn("root", F.col("node") if root is None else F.coalesce("root", "node"))
-
-        compare(_to_first(lists()))
-        coarse = stage(components(reduce(DataFrame.union, near), self.scratch), "coarse")
+        first = stage(_to_first(posted).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        likely, linked = self.linked(first)
+        # enough to leave out most pairs that are connected already: the smallest node that one is linked with
+        root = stage(linked.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "roots")
+        coarse = stage(components(likely, self.scratch), "coarse")
         clusters = stage(_clusters(posted, coarse), "clusters")
-        links.append(self.block_links(clusters, root))
-        join()
+        blocks = self.block_links(clusters, root)
         of_node = clusters.groupBy("node").agg(F.collect_set("cluster").alias("clusters"))  # at most 1 + WIDEST
-        compare(_to_the_rest(lists().join(of_node, "node", "left"), self.rule.percent))
-        drop(posted, coarse, clusters, *tried, *near, *links)
-        return root
+        lists = posted.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(of_node, "node", "left")
+        rest = _to_the_rest(lists, self.rule.percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        rest = stage(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+        more_likely, more = self.linked(rest)
+        found = stage(components(linked.union(blocks).union(more), self.scratch), "components")
+        drop(posted, first, likely, linked, root, coarse, clusters, blocks, rest, more_likely, more)
+        return found
 
 
 def _compare_blocks(percent: int):
