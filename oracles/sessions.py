@@ -90,6 +90,7 @@ TEXTS = {
  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY "timestamp", event_id) AS INTEGER) AS track_position FROM sessions)
  WHERE track_position <= 10 GROUP BY 1)"""
     ),
+    # The thresholds and labels of the session segments.
     "se10_session_segments": over_metrics(
         f"""SELECT *, CASE WHEN total_sessions >= 50 AND high_quality_session_pct >= 60 THEN 'Power User'
  WHEN total_sessions >= 20 AND high_quality_session_pct >= 40 THEN 'Engaged User'

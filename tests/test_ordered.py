@@ -57,9 +57,11 @@ def test_index_is_dense_and_ordered(log):
     same(plain, ordered.order_log(log).rows, "row_index")
 
 
-def test_reach_must_fit_in_a_chunk(log):
+def test_long_reach_widens_the_chunks(log):
+    short, long = (ordered.order_log(log, chunk_rows=n).history({"x": ordered.previous("value", 4)}, reach=4) for n in (3, 1000))
+    assert sorted(map(tuple, short.collect()), key=repr) == sorted(map(tuple, long.collect()), key=repr)
     with pytest.raises(ValueError):
-        ordered.order_log(log, chunk_rows=3).history({"x": ordered.previous("value", 4)}, reach=4)
+        ordered.order_log(log).history({"x": ordered.previous("value")}, reach=0)
 
 
 def test_empty_and_single_row(log):
