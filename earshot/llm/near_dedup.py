@@ -139,8 +139,10 @@ class _Search:
         share = 100 - rule.percent
         held = F.least("n", F.lit(k))
         far = F.floor(F.col("n") * share / rule.percent)  # members that a linked set may lack
-        sure = F.greatest(F.lit(rule.sure_overlap()), k - far)
-        length = F.when(F.col("n") * 100 <= rule.percent * k, F.col("n") - F.ceil(F.col("n") * rule.percent / 100) + 1).otherwise(held - sure + 1)
+        # by the size of the union: up to k values, sketches are whole sets; above, k of its values are looked at
+        whole, part = F.ceil(F.col("n") * rule.percent / 100), F.greatest(F.lit(rule.sure_overlap()), k - far)
+        sure = F.when(F.col("n") * 100 <= rule.percent * k, whole).when(F.col("n") < k, F.least(whole, part)).otherwise(part)
+        length = held - sure + 1
         every = self.nodes.select("node", "n", F.size("sketch").alias("held"), length.alias("length"), F.explode("sketch").alias("v"))
         shared = every.groupBy("v").count().where("count > 1")
         met = every.join(shared, "v").select("node", "n", "held", "length", F.struct("count", "v").alias("p"))

@@ -469,6 +469,18 @@ def test_near_duplicates_of_random_families(spark):
         assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_duplicates(texts, *rule), key=repr)
 
 
+@pytest.mark.parametrize("rule", [near_dedup.Rule(3, 85), near_dedup.Rule()])
+def test_near_copies_about_the_sketch_size(spark, rule):
+    """A pair that differs in one inner word, at every set size from 40 to 80; no other text shares its values."""
+    texts = []
+    for n in range(40, 81):
+        words = [f"s{n}x{i}" for i in range(n + rule.shingle - 1)]
+        texts += [(2 * n, " ".join(words)), (2 * n + 1, changed(words, len(words) // 2))]
+    want = brute.near_duplicates(texts, rule.shingle, rule.percent)
+    assert sum(not kept for *_, kept in want) > 25
+    assert rows(near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), rule)) == sorted(want, key=repr)
+
+
 def test_one_document_of_each_group_stays(docs):
     kept = near_dedup.keep_one(docs)
     want = {d for d, _, _, k in brute.near_duplicates(TEXTS, 5, 80) if k}
