@@ -332,6 +332,21 @@ def test_model_adds_other_forms(spark):
         assert len([x for x in found[i].split(",") if x]) == sum(map(len, base[i].values())), text
 
 
+def test_lists_of_numbers_keep_all_their_spans(spark):
+    """Bridged neighbours are each added, and a base span takes only what overlaps itself."""
+    text = "234-567-8901 345-678-9012 456-789-0123"
+    phones = [(0, 12), (13, 25), (26, 38)]
+    spans = [(1, "phone", a, b, 0.9) for a, b in phones] + [(1, "card", 8, 29, 0.8)]
+    scored = spark.createDataFrame([(*x, 1) for x in spans], "doc_id bigint, kind string, start bigint, end bigint, score double, text_key bigint")
+    assert rows(pii._apart(scored), "kind", "start", "end") == [("phone", a, b) for a, b in phones]
+    texts = pii.keyed(spark.createDataFrame([(1, text), (2, "tel 234 567 8901 192.168.10.20")], "doc_id bigint, text string"))
+    base = pii._matches(texts, pii.PATTERNS, pii.HINTS).where(pii._passes(pii.F.col("kind"), pii.F.col("match")))
+    both = base.withColumn("is_base", pii.F.lit(True)).unionByName(pii._matches(texts, pii.WIDE, pii.WIDE_HINTS).withColumn("is_base", pii.F.lit(False)))
+    free = both.withColumn("touches", pii._overlaps_base(both)).where("not is_base and not touches")
+    assert set(rows(free, "doc_id", "kind", "start", "end")) >= {(1, "phone", a, b) for a, b in phones} | {(2, "phone", 4, 16)}
+    assert not [x for x in rows(free, "doc_id", "kind", "end") if x[0] == 2 and x[2] > 17]
+
+
 # --- 7
 
 
