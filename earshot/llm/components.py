@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from earshot.llm.scratch import Scratch
 
-#: Shuffle partitions for each file of links.
-SHARE = 8
+#: Links for each task and file of a round.
+SHARE = 1_000_000
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -19,12 +19,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     very many links is grouped with map-side combining and joined, never gathered. No link, no row; loops
     and repeated links do not matter.
     """
-    # link tables are much smaller than what the shuffles are sized for
-    files = max(1, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARE)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = scratch.stage(edges.coalesce(files), "links")
+    edges = scratch.stage(edges, "links")
     before = _print(edges)
     while True:
+        # link tables are often much smaller than what the shuffles are sized for; a round makes no more links than it got
+        files = max(1, -(-before[0] // SHARE))
         # large star: neighbours above u move to the smallest of u and its neighbours
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

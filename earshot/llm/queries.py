@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import answers, bpe, chat, decontamination, licenses, near_dedup, packing, pii, quality_rules, secrets, sharding
+from earshot.llm import answers, bpe, chat, conversation_repair, decontamination, hard_negatives, licenses, near_dedup, packing, pii, quality_rules, secrets, sharding, simhash
 from earshot.llm.scratch import Scratch
 from earshot.session import configure
 
@@ -80,6 +80,32 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Faults put into turns by the checksum of their place; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    n = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(n == 1, "").when(n == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    role = F.when(n == 4, "user").otherwise(space("role"))
+    copies = F.explode(F.when(n == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return conversations.where(n != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.audit(damaged(conversations), conversations)
+
+
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), simhash.Rule(shingle=3, distance=2))
+    return found.select("doc_id", "fingerprint", "component_id", "kept")
+
+
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is wrong on purpose."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination_query,
     "op2_secret_scan": secrets_query,
@@ -91,5 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_query,
     "op9_sharding": sharding_query,
     "op10_near_dedup": near_dedup_query,
+    "op11_conversation_repair": repair_query,
+    "op12_simhash_dedup": simhash_query,
+    "op13_hard_negatives": negatives_query,
 }
 SQL: dict[str, str] = answers.TEXTS
