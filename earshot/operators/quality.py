@@ -14,7 +14,7 @@ from earshot.functions.numbers import round_half_up
 from earshot.functions.texts import one_decimal_text, whole_text
 from earshot.functions.times import whole_days_between
 from earshot.operators import cleaning
-from earshot.operators.joins import one_row
+from earshot.operators.quantiles import exact_quantiles, quantile_rows
 
 
 def unpivot_row(row: DataFrame, values: dict[str, Column], name: str, value: str) -> DataFrame:
@@ -77,20 +77,9 @@ def _melt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
-def quantiles(df: DataFrame, col: str, probabilities: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles as one array column ``q``.
-
-    Values are counted first, so the last step sees each distinct value once.
-    """
-    counted = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
-    listed = ", ".join(str(p) for p in probabilities)
-    return counted.agg(F.expr(f"percentile(`{col}`, array({listed}), n)").alias("q"))
-
-
 def iqr_outliers(df: DataFrame, col: str = "ms_played", k: float = 1.5) -> DataFrame:
     """Quartiles, fences and how many values lie outside; counts only, nothing is changed."""
-    quartiles = one_row(quantiles(df, col, (0.25, 0.75)))["q"]
-    q1, q3 = quartiles[0], quartiles[1]
+    q1, q3 = (F.lit(q).cast("double") for q in exact_quantiles(df, {col: (0.25, 0.75)})[col])
     lo, hi = q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
     outside = F.count_if((F.col(col) < lo) | (F.col(col) > hi))
     return df.agg(outside.alias("n_outliers")).select(
@@ -128,10 +117,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     moments = row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{c}_{m}").alias(m) for m in measures]) for c in cols
     ])))
-    quartiles = reduce(
-        lambda a, b: a.unionByName(b),
-        [quantiles(df, c, (0.25, 0.5, 0.75)).select(F.lit(c).alias("column"), "q") for c in cols],
-    )
+    quartiles = quantile_rows(df, {c: (0.25, 0.5, 0.75) for c in cols})
     return moments.join(quartiles, "column").select(
         "column", "n", round_half_up(F.col("mean"), 4).alias("mean"), round_half_up(F.col("stddev"), 4).alias("stddev"),
         "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max",

@@ -12,7 +12,7 @@ from earshot.functions.numbers import equal_width_bin, exact_mean, flag, round_h
 from earshot.operators import sessions as S
 from earshot.operators import trends
 from earshot.operators.joins import one_row, share_of_total
-from earshot.operators.quality import quantiles
+from earshot.operators.quantiles import exact_quantiles
 from earshot.plans import measures as m
 
 
@@ -132,7 +132,8 @@ def session_summary(stats: DataFrame) -> DataFrame:
         round_half_up(F.count("*") / F.countDistinct(F.to_date("session_start")), 4).alias("daily_sessions"),
     )
     medians = {"median_duration": "session_duration_minutes", "median_tracks": "tracks_count", "median_skip_rate": "skip_rate"}
-    return row.withColumns({name: one_row(quantiles(stats, c, (0.5,)))["q"][0] for name, c in medians.items()})
+    found = exact_quantiles(stats, {c: (0.5,) for c in medians.values()})
+    return row.withColumns({name: F.lit(found[c][0]).cast("double") for name, c in medians.items()})
 
 
 def score_shares(scored: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.constants import RAW_COLUMNS
+from earshot.sources.records import read_csv
 
 
 class MissingColumns(ValueError):
@@ -24,8 +25,7 @@ ALIASES = {"spotify_track_uri": "track_uri"}
 
 
 def csv_options(line_breaks: bool = True) -> dict[str, str | bool]:
-    """RFC 4180: quotes inside a quoted field are doubled. Files whose quoted fields hold no line breaks can be read
-    without ``line_breaks``, which lets Spark split large ones."""
+    """RFC 4180: quotes inside a quoted field are doubled."""
     return {"header": True, "quote": '"', "escape": '"', "multiLine": line_breaks, "enforceSchema": False}
 
 
@@ -33,11 +33,14 @@ def read_plays(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLU
     """Raw log as text columns, found by the names in the header, whatever their order and whatever else there is.
 
     Typing is the cleaner's work, so no inference pass. Files of one folder must agree in their header; a missing
-    column raises ``MissingColumns``.
+    column raises ``MissingColumns``. Large files are split either way; without ``line_breaks`` in quoted fields Spark's
+    own reader does it in one pass, with them records are put together from lines in two.
     """
-    options = csv_options(line_breaks)
-    names = spark.read.options(**options).csv(path).columns
-    raw = spark.read.schema(text_schema(names)).options(**options).csv(path)
+    names = spark.read.options(**csv_options()).csv(path).columns
+    if line_breaks:
+        raw = read_csv(spark, path, names)
+    else:
+        raw = spark.read.schema(text_schema(names)).options(**csv_options(False)).csv(path)
     named = raw.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in names and b not in names})
     return validate_schema(named, columns).select(*columns)
 
