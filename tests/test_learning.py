@@ -1,9 +1,12 @@
 import math
 
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from earshot.learning import clusters, matrix, models, scores
+from earshot.learning import clusters, kmeans, matrix, models, scores
 
 SETTINGS = models.Settings(trees=5, tree_depth=4, iterations=30, rounds=3, round_depth=3, folds=2)
 
@@ -83,3 +86,51 @@ def test_two_clear_clusters(spark):
     assert points.count() == 40 and sum(pca.explainedVariance) == pytest.approx(1.0)
     assert clusters.centroids(spark, found, pca).count() == 2
     assert all(not math.isnan(r.pc1) for r in points.collect())
+
+
+def blobs(spark, n=600):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"t{i}", [r.gauss(10 * (i % 3), 1), r.gauss(5 * (i % 3 == 1), 1), r.gauss(0, 1)]) for i in range(n)]
+    table = spark.createDataFrame(rows, "track_uri string, x array<double>").repartition(4)
+    return table.select("track_uri", array_to_vector("x").alias("scaled"))
+
+
+def test_shared_scans_fit_as_well_as_single_fits(spark):
+    table = blobs(spark).cache()
+    fits = kmeans.fit_all(table, (2, 3, 4), (1, 2, 3), "track_uri")
+    assert [(f.k, f.seed) for f in fits] == [(k, s) for k in (2, 3, 4) for s in (1, 2, 3)]
+    for k in (2, 3, 4):
+        alone = min((KMeans(featuresCol="scaled", k=k, seed=s).fit(table) for s in (1, 2, 3)), key=lambda f: f.summary.trainingCost)
+        best = min((f for f in fits if f.k == k), key=lambda f: f.inertia)
+        assert best.inertia <= alone.summary.trainingCost * 1.001
+        assert best.sizes.sum() == 600 and len(best.model.centres) == k
+        spread = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster").evaluate(best.model.transform(table))
+        assert kmeans.silhouettes(table, [best])[0] == pytest.approx(spread, abs=1e-9)
+    again = kmeans.fit_all(table.repartition(2), (3,), (1,), "track_uri")[0]
+    assert again.inertia == pytest.approx(next(f for f in fits if (f.k, f.seed) == (3, 1)).inertia, abs=1e-6)
+
+
+def test_one_scan_moves_all_models(spark, monkeypatch):
+    scans = []
+    real = kmeans._summed
+    monkeypatch.setattr(kmeans, "_summed", lambda rows, models: scans.append(len(models)) or real(rows, models))
+    kmeans.fit_all(blobs(spark), (2, 3), (1, 2), "track_uri", steps=20)
+    assert scans[0] == 4 and len(scans) <= 3 + 20 + 1 and max(scans) == 4
+
+
+def test_fewer_points_than_centres(spark):
+    same = spark.createDataFrame([(f"t{i}", [float(i % 2), 1.0]) for i in range(9)], "track_uri string, x array<double>")
+    table = same.select("track_uri", array_to_vector("x").alias("scaled"))
+    for f in kmeans.fit_all(table, (2, 5), (1,), "track_uri"):
+        assert f.inertia == pytest.approx(0) and len(f.model.centres) == 2
+    assert kmeans.fit_all(table.limit(0), (2,), (1,), "track_uri") == []
+
+
+def test_saved_centres_assign_the_same(spark, tmp_path):
+    table = blobs(spark)
+    model = kmeans.fit_all(table, (3,), (1,), "track_uri")[0].model
+    model.save(spark, str(tmp_path / "centres"))
+    pick = lambda m: sorted(map(tuple, m.transform(table).select("track_uri", "cluster").collect()))
+    assert pick(kmeans.Centres.load(spark, str(tmp_path / "centres"))) == pick(model)
