@@ -1,4 +1,4 @@
-"""Command line: ``python -m earshot clean|features|models INPUT OUTPUT``."""
+"""Command line: ``python -m earshot clean|features|reports|models INPUT OUTPUT``."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from earshot.sources.staging import drop_staged
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="earshot", description=__doc__)
-    parser.add_argument("step", choices=("clean", "features", "models"))
+    parser.add_argument("step", choices=("clean", "features", "reports", "models"))
     parser.add_argument("source", help="raw CSV, cleaned table or feature table")
     parser.add_argument("out", help="folder for the results")
     parser.add_argument("--gap-minutes", type=float, default=SESSION_GAP_MINUTES)
@@ -27,6 +27,8 @@ def main() -> None:
             paths = runs.clean_run(spark, args.source, args.out)
         elif args.step == "features":
             paths = runs.feature_run(spark, args.source, args.out, timedelta(minutes=args.gap_minutes), args.leak_free)
+        elif args.step == "reports":
+            paths = runs.report_run(spark, args.source, args.out, timedelta(minutes=args.gap_minutes))
         else:
             paths = runs.model_run(spark, args.source, args.out)
         print(json.dumps(paths, indent=2))

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from earshot.constants import BASIC_SKIP_FEATURES, SKIP_FEATURES
 from earshot.functions.numbers import round_signed
 from earshot.operators.features import add_length_flags, one_hot, select_available
-from earshot.operators.joins import join_on
+from earshot.operators.joins import attach, join_on
+from earshot.operators.ordered import order_log
 from earshot.operators.quality import unpivot_row
 
 GRAIN = 1000
@@ -58,10 +59,17 @@ def split(matrix: DataFrame, test: float = 0.2, key: str = "event_id", label: st
     return join_on(drawn, F.broadcast(chosen), [label, "_u"]).drop("_u")
 
 
-def add_folds(train: DataFrame, folds: int = 5, key: str = "event_id") -> DataFrame:
-    """Repeatable fold numbers, independent of the split's hash."""
+def add_folds(train: DataFrame, folds: int = 5, key: str = "event_id", label: str = "label") -> DataFrame:
+    """Repeatable stratified fold numbers: the rows of each class, in the order of a hash of their key (another one than
+    the split's), are dealt in turn, so a class's counts in two folds differ by at most one.
+
+    The order is a range-sorted dense index, not a window over a class; where a class starts in it is one row a class.
+    """
     second = F.conv(F.substring(F.md5(F.col(key).cast("string")), 9, 8), 16, 10).cast("bigint")
-    return train.withColumn("fold", (second % folds).cast("int"))
+    log = order_log(train.withColumn("_v", second), ("_v", key), (label,))
+    starts = log.rows.groupBy(label).agg(F.min("row_index").alias("_start"))
+    placed = attach(log.rows, starts, (label,), "fold_starts")
+    return placed.withColumn("fold", F.pmod(F.col("row_index") - F.col("_start"), F.lit(folds)).cast("int")).drop("_v", "_start", "row_index")
 
 
 def class_weights(matrix: DataFrame, label: str = "label") -> DataFrame:

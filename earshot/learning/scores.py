@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.numbers import flag, ratio, round_half_up
 from earshot.operators.joins import one_row
-from earshot.operators.ordered import order_log
+from earshot.operators.ordered import order_log, previous
 from earshot.sources.staging import stage
 
 
@@ -47,6 +47,28 @@ def roc(scored: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def roc_corners(scored: DataFrame, digits: int = 6) -> DataFrame:
+    """The points of ``roc`` without those on a straight line between their neighbours, from the origin (null
+    threshold: nothing counts as positive) to the lowest score.
+
+    A point goes if the step to it and the step after it add the same positives and negatives. Steps are counts at
+    single scores, so one look at the neighbour in the chunked index decides.
+    """
+    log = order_log(_by_score(scored), ["score"])
+    with_pos = log.running_sum(F.col("pos"), "pos_upto")
+    both = type(log)(with_pos, chunk_rows=log.chunk).running_sum(F.col("neg"), "neg_upto")
+    seen = type(log)(both, chunk_rows=log.chunk).history({"_pos": previous("pos"), "_neg": previous("neg")}, reach=1)
+    ends = (F.col("row_index") == 1) | (F.col("row_index") == log.count)
+    table = stage(seen.where(ends | (F.col("pos") != F.col("_pos")) | (F.col("neg") != F.col("_neg"))), "roc_corners")
+    totals = one_row(scored.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")))
+    rate = lambda all_, upto, own: round_half_up((all_ - F.col(upto) + F.col(own)) / all_, digits)
+    points = table.select(
+        F.col("score").alias("threshold"), rate(totals["n"], "neg_upto", "neg").alias("fpr"), rate(totals["p"], "pos_upto", "pos").alias("tpr")
+    )
+    zero = F.lit(0.0)
+    return points.unionByName(scored.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
+
+
 def confusion(scored: DataFrame) -> DataFrame:
     return scored.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 

@@ -124,6 +124,34 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row for each column, as a describe over all types gives it: numbers get the measures of ``describe``, all
+    other types how many distinct values they have, the most frequent one (the least of several) and its count.
+
+    Values of all such columns are counted in one pass, combined before the shuffle; a column's values never meet in one
+    task, only counts of them do.
+    """
+    cols = list(cols or df.columns)
+    kinds = dict(df.dtypes)
+    numeric = [c for c in cols if kinds[c].startswith(("decimal", "double", "float", "bigint", "int", "smallint", "tinyint"))]
+    counts = _melt(df, [c for c in cols if c not in numeric]).where(F.col("value").isNotNull()) if len(numeric) < len(cols) else None
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    found = names
+    if counts is not None:
+        counted = counts.groupBy("column", "value").agg(F.count("*").alias("k"))
+        first = F.min(F.struct((-F.col("k")).alias("less"), "value"))
+        texts = counted.groupBy("column").agg(F.sum("k").alias("text_n"), F.count("*").alias("n_unique"), first.alias("first"))
+        found = found.join(texts.select("column", "text_n", "n_unique", F.col("first.value").alias("top"), (-F.col("first.less")).alias("freq")), "column", "left")
+    else:
+        found = found.select("column", *[F.lit(None).cast(t).alias(c) for c, t in (("text_n", "bigint"), ("n_unique", "bigint"), ("top", "string"), ("freq", "bigint"))])
+    measures = ("mean", "stddev", "min", "q1", "median", "q3", "max")
+    if numeric:
+        found = found.join(describe(df, numeric), "column", "left")
+    else:
+        found = found.select("*", F.lit(None).cast("bigint").alias("n"), *[F.lit(None).cast("double").alias(c) for c in measures])
+    return found.select("column", F.coalesce("n", "text_n", F.lit(0)).alias("n"), "n_unique", "top", "freq", *measures)
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """The report printed after cleaning, as (metric, value) rows, platform counts included."""
     totals = df.agg(

@@ -8,9 +8,8 @@ from pyspark.sql.window import Window
 
 from earshot.functions.numbers import exact_mean, flag, round_half_even, round_half_up
 from earshot.operators.joins import normalise_by_max
-from earshot.operators.ranking import add_ntile, add_ranks
+from earshot.operators.ranking import Rank, add_ntile, add_rank_columns
 from earshot.plans import measures as m
-from earshot.sources.staging import stage
 
 
 
@@ -102,25 +101,23 @@ def artist_performance(plays: DataFrame, min_plays: int = 20) -> DataFrame:
     return scored.select(*names, score.alias("engagement_score"))
 
 
-def _ranked_by_counts(artists: DataFrame) -> DataFrame:
-    return (
-        artists.transform(add_ntile, 5, ["total_plays", "artist_name"], "plays_quintile")
-        .transform(add_ranks, "total_plays", "plays_rank", None, False)
-        .transform(add_ranks, "total_plays", None, "plays_share", True)
-        .transform(add_ranks, "total_hours", "hours_rank", None, False)
-        .transform(add_ranks, "skip_rate_pct", "engagement_rank", None, True)
-        .transform(add_ranks, "skip_rate_pct", None, "skip_share", False)
-        .transform(add_ranks, "avg_percent_played", None, "completion_share", True)
-    )
+_RANKS = {
+    "plays_rank": Rank("total_plays", ascending=False),
+    "plays_share": Rank("total_plays", percent=True),
+    "hours_rank": Rank("total_hours", ascending=False),
+    "engagement_rank": Rank("skip_rate_pct"),
+    "skip_share": Rank("skip_rate_pct", ascending=False, percent=True),
+    "completion_share": Rank("avg_percent_played", percent=True),
+}
 
 
 def artist_ranking(plays: DataFrame, min_plays: int = 10, k: int = 20) -> DataFrame:
     """Ranks, quintiles and a composite score of artists; the ``k`` best by score.
 
-    The artist table is staged and ranked from value counts and a range-partitioned index.
+    The artist table is sorted into an index once; ranks come from counts of values in a second one.
     """
-    artists = stage(artist_totals(plays, min_plays), "artist_totals")
-    ranked = _ranked_by_counts(artists)
+    artists = add_ntile(artist_totals(plays, min_plays), 5, ["total_plays", "artist_name"], "plays_quintile")
+    ranked = add_rank_columns(artists, _RANKS)
     score = F.col("plays_share") * 0.3 + F.col("completion_share") * 0.4 + F.col("skip_share") * 0.3
     return (
         ranked.select(

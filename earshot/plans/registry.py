@@ -114,11 +114,17 @@ CLEANING: dict[str, Query] = {
         ws.dirty.transform(cleaning.typed).transform(cleaning.cap).transform(cleaning.drop_negative)
     ),
     "dq9_describe": lambda ws: quality.describe(ws.plays, ("ms_played", "hour_of_day", "day_of_week_num")),
+    "dq9_describe_all": lambda ws: quality.describe_all(ws.plays, _DESCRIBED),
     "dq10_dataset_summary": lambda ws: quality.dataset_summary(cleaning.clean(ws.dirty)),
     "dq11_audit_trail": lambda ws: quality.audit_trail(ws.dirty),
     "dq12_feature_inventory": lambda ws: quality.feature_inventory(ws.features),
 }
 
+_DESCRIBED = (
+    "platform", "track_name", "artist_name", "album_name", "reason_start", "reason_end", "shuffle", "skipped", "timestamp", "ms_played", "hour_of_day",
+    "day_of_week_num",
+)
+
 # ---------------------------------------------------------------- row features
 
 _CLEANED = ("event_id", "timestamp", "track_uri", "platform", "ms_played", "reason_start", "reason_end", "shuffle", "skipped")
@@ -545,6 +551,8 @@ LEARNING: dict[str, Query] = {
     "ml13_confusion": lambda ws: scores.confusion(_by_completion(ws)),
     "ml13_report": lambda ws: scores.report(_by_completion(ws)),
     "ml14_roc": lambda ws: scores.roc(_by_completion(ws)),
+    "ml14_roc_corners": lambda ws: scores.roc_corners(_by_completion(ws)),
+    "ml10_folds": lambda ws: matrix.add_folds(ws.plays.select("event_id", F.col("is_skip").cast("int").alias("label"))),
     "ml15_cluster_trials": lambda ws: _clustering(ws).trials,
     "ml15_cluster": lambda ws: _clustering(ws).assigned.select("track_uri", "cluster"),
     "ml16_cluster_profile_table": lambda ws: clusters.cluster_profile_table(_assigned(ws)),

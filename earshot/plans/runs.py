@@ -1,8 +1,9 @@
-"""The three steps from a raw CSV to features, models and segments, each reading the step before."""
+"""The steps from a raw CSV to features, models, segments and reports, each reading the step before."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from earshot.constants import RAW_COLUMNS
 from earshot.learning import clusters, matrix, models
 from earshot.operators import cleaning, entities, features, quality, sessions
-from earshot.plans import feature_table
+from earshot.plans import activity, content, feature_table, kpis, platforms, retention, session_reports, skips
 from earshot.session import configure
 from earshot.sources import plays as readers
 from earshot.sources import sinks
+from earshot.sources.staging import stage
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
@@ -57,7 +59,11 @@ def model_run(spark: SparkSession, features_path: str, out: str, settings: model
 
     found = clusters.cluster(entities.cluster_profile(table), ks=ks)
     summary = clusters.cluster_profile_table(found.assigned, clusters.SCRIPT_MEANS)
-    return models.save_models(fitted, f"{out}/models") | {
+    saved = models.save_models(fitted | {"scaler": found.scaler}, f"{out}/models")
+    found.model.save(spark, f"{out}/models/centres")
+    return saved | {
+        "centres": f"{out}/models/centres",
+        "model_summary": sinks.write_report(models.model_summary(spark, {n: r[:2] for n, r in results.items()}), f"{out}/model_summary"),
         "evaluation": sinks.write_json(report, f"{out}/evaluation"),
         "segments": sinks.write_stage(found.assigned, f"{out}/segments"),
         "segment_summary": sinks.write_report(summary, f"{out}/segment_summary"),
@@ -65,6 +71,60 @@ def model_run(spark: SparkSession, features_path: str, out: str, settings: model
     }
 
 
+@dataclass(frozen=True)
+class _Tables:
+    """What the reports of one run read, each staged once."""
+
+    plays: DataFrame
+    sessions: DataFrame
+    metrics: DataFrame
+    stats: DataFrame
+
+    @property
+    def scored(self) -> DataFrame:
+        return sessions.session_score(self.stats)
+
+
+#: Report tables of a run, by the name of their folder.
+REPORT_TABLES: dict[str, Callable[[_Tables], DataFrame]] = {
+    "top_tracks": lambda t: content.top_tracks(t.plays),
+    "top_artists": lambda t: content.top_artists(t.plays),
+    "executive_summary": lambda t: kpis.executive_summary(t.plays, t.scored),
+    "kpis": lambda t: kpis.eda_kpis(t.plays, t.stats),
+    "platforms": lambda t: platforms.platform_engagement(t.plays),
+    "artists": lambda t: content.artist_performance(t.plays),
+    "artist_ranking": lambda t: content.artist_ranking(t.plays),
+    "skip_drivers": lambda t: skips.skip_drivers(t.plays),
+    "hourly": lambda t: activity.hourly(t.plays),
+    "daily": lambda t: activity.daily(t.plays),
+    "retention": lambda t: activity.retention_table(t.plays),
+    "daily_retention": lambda t: retention.daily_retention(activity.daily_activity(t.plays)),
+    "cohorts": lambda t: retention.cohort_retention(t.plays),
+    "session_quality": lambda t: session_reports.session_quality_report(t.metrics),
+    "session_platforms": lambda t: session_reports.session_platform_report(t.metrics),
+    "session_journey": lambda t: session_reports.session_journey(t.sessions),
+    "session_summary": lambda t: session_reports.session_summary(t.stats),
+    "insights": lambda t: kpis.insights(
+        t.plays, t.scored, retention.daily_retention(activity.daily_activity(t.plays)), retention.churn_trend(activity.daily_activity(t.plays))
+    ),
+}
+
+
+def report_run(spark: SparkSession, plays_path: str, out: str, gap: timedelta = sessions.GAP) -> dict[str, str]:
+    """Cleaned table to the wide plays, session tables and all report tables. A report reads tables that are written
+    once; each is a job of its own."""
+    plays = readers.read_stage(configure(spark), plays_path).drop("date").withColumn("ms_played", F.col("ms_played").cast("bigint"))
+    wide = stage(features.wide_plays(plays), "wide_plays")
+    with_ids = stage(sessions.assign_sessions(wide, gap), "sessions")
+    tables = _Tables(wide, with_ids, stage(sessions.session_metrics(with_ids), "session_metrics"), stage(sessions.session_stats(with_ids), "session_stats"))
+    paths = {
+        "wide_plays": sinks.write_stage(by_date(wide.withColumn("date", F.to_date("timestamp"))), f"{out}/wide_plays", partition_by=["date"]),
+        "session_events": sinks.write_stage(session_reports.session_events(with_ids), f"{out}/session_events"),
+        "session_statistics": sinks.write_stage(tables.stats, f"{out}/session_statistics"),
+    }
+    return paths | {name: sinks.write_report(make(tables), f"{out}/{name}") for name, make in REPORT_TABLES.items()}
+
+
 def register_views(spark: SparkSession, plays: DataFrame, gap: timedelta = sessions.GAP) -> None:
     """Views for SQL users: ``plays``, ``sessions_with_ids`` and ``session_metrics``."""
     wide = plays if "is_skip" in plays.columns else features.wide_plays(plays)

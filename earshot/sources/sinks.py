@@ -21,10 +21,10 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> str:
-    """Report-sized result, written as one file."""
-    return write_stage(df.coalesce(1), path, fmt, mode=mode)
+    """Report-sized result, written as one file. Its rows move to one task; the stage that makes them stays parallel."""
+    return write_stage(df.repartition(1), path, fmt, mode=mode)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    df.coalesce(1).write.mode(mode).json(path)
+    df.repartition(1).write.mode(mode).json(path)
     return path

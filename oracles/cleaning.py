@@ -24,6 +24,17 @@ _DESCRIBE = " UNION ALL ".join(
  quantile_cont({c}, 0.75) AS q3, CAST(max({c}) AS DOUBLE) AS max FROM plays"""
     for c in ("ms_played", "hour_of_day", "day_of_week_num")
 )
+_DESCRIBE_ALL = " UNION ALL ".join(
+    [
+        f"""SELECT '{c}' AS "column", (SELECT count({c}) FROM plays) AS n, (SELECT count(DISTINCT {c}) FROM plays) AS n_unique, top, freq,
+ CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS stddev, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS q1, CAST(NULL AS DOUBLE) AS median,
+ CAST(NULL AS DOUBLE) AS q3, CAST(NULL AS DOUBLE) AS max
+ FROM (SELECT {v} AS top, count(*) AS freq FROM plays WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"""
+        for c in ("platform", "track_name", "artist_name", "album_name", "reason_start", "reason_end", "shuffle", "skipped", "timestamp")
+        for v in (f'strftime("{c}", \'%Y-%m-%d %H:%M:%S\') || rtrim(rtrim(strftime("{c}", \'.%f\'), \'0\'), \'.\')' if c == "timestamp" else f"CAST({c} AS VARCHAR)",)
+    ]
+    + [f'SELECT "column", n, NULL, NULL, NULL, mean, stddev, min, q1, median, q3, max FROM ({_DESCRIBE})']
+)
 _IQR = """q AS (SELECT quantile_cont(ms_played, 0.25) AS q1, quantile_cont(ms_played, 0.75) AS q3 FROM {t}),
 f AS (SELECT q1, q3, q1 - (q3 - q1) * 1.5e0 AS lo, q3 + (q3 - q1) * 1.5e0 AS hi FROM q)
 SELECT q1, q3, lo, hi, (SELECT count(*) FROM {t}, f WHERE ms_played < lo OR ms_played > hi) AS n_outliers FROM f"""
@@ -101,6 +112,7 @@ UNION ALL SELECT 'duplicates', 'exact', (SELECT count(*) FROM valid) - (SELECT c
     ),
     "dq8_rule_violations": over_dirty("SELECT count(*) AS violations FROM valid WHERE skipped AND ms_played > 240000"),
     "dq9_describe": over_plays(_DESCRIBE),
+    "dq9_describe_all": over_plays(_DESCRIBE_ALL),
     "dq10_dataset_summary": over_dirty(
         f"""SELECT 'total_records' AS metric, CAST(count(*) AS VARCHAR) AS value FROM cleaned
 UNION ALL SELECT 'date_range', strftime(min("timestamp"), '%Y-%m-%d') || ' to ' || strftime(max("timestamp"), '%Y-%m-%d') FROM cleaned

@@ -79,6 +79,20 @@ TEXTS = {
         f"""SELECT score AS threshold, {r('fp / n', 6)} AS fpr, {r('tp / p', 6)} AS tpr FROM totals, (
  SELECT score, sum(count(*) FILTER (WHERE label = 0)) OVER (ORDER BY score DESC) AS fp,
   sum(count(*) FILTER (WHERE label = 1)) OVER (ORDER BY score DESC) AS tp FROM scored GROUP BY score)""",
+    ),
+    "ml14_roc_corners": sql(
+        SCORED,
+        f"""SELECT threshold, {r('fp / n', 6)} AS fpr, {r('tp / p', 6)} AS tpr FROM totals, (
+ SELECT score AS threshold, CAST(sum(neg) OVER w AS DOUBLE) AS fp, CAST(sum(pos) OVER w AS DOUBLE) AS tp, pos, neg,
+  lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, lag(pos) OVER w AS last_pos
+ FROM (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY score)
+ WINDOW w AS (ORDER BY score DESC))
+ WHERE next_pos IS NULL OR last_pos IS NULL OR pos <> next_pos OR neg <> next_neg
+ UNION ALL SELECT NULL, 0e0, 0e0""",
+    ),
+    "ml10_folds": over_plays(
+        """SELECT event_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY u, event_id) - 1) % 5 AS INTEGER) AS fold
+ FROM (SELECT event_id, CAST(is_skip AS INTEGER) AS label, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 9, 8) AS BIGINT) AS u FROM plays)"""
     ),
     "ml16_cluster_profile_table": sql(ASSIGNED, "SELECT * FROM tab"),
     "ml20_cluster_insights": sql(

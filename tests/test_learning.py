@@ -62,6 +62,36 @@ def test_cross_validation_and_importances(spark, rows):
     assert best.feature == "x"
 
 
+@pytest.mark.parametrize("folds", [2, 5, 7])
+def test_folds_are_stratified(spark, folds):
+    rows = [(i, 0 if i % 9 else 1, 1.0) for i in range(500)] + [(None, 1, 1.0), (1000, None, 2.0), (1000, None, 2.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, label int, x double")
+    found = matrix.add_folds(df, folds)
+    assert found.columns == [*df.columns, "fold"] and found.count() == len(rows)
+    counts = {}
+    for r in found.collect():
+        counts.setdefault(r.label, [0] * folds)[r.fold] += 1
+    assert all(max(c) - min(c) <= 1 for c in counts.values()) and set(counts) == {0, 1, None}
+    assert sorted(map(repr, matrix.add_folds(df.repartition(3), folds).collect())) == sorted(map(repr, found.collect()))
+    assert matrix.add_folds(df.limit(0), folds).count() == 0
+
+
+def test_roc_corners_drop_straight_runs(spark):
+    import random
+
+    r = random.Random(6)
+    data = [(r.randrange(2), round(r.random(), 2)) for _ in range(400)] + [(1, 2.0 + i) for i in range(6)] + [(0, -1.0 - i) for i in range(6)]
+    found = scores.roc_corners(spark.createDataFrame([(y, s, 0) for y, s in data], "label int, score double, prediction int")).collect()
+    every = sorted({s for _, s in data}, reverse=True)
+    tps, fps = ([sum(1 for y, s in data if s >= t and y == c) for t in every] for c in (1, 0))
+    straight = lambda v, i: v[i + 1] - v[i] == v[i] - v[i - 1]
+    want = [(t, fps[i] / fps[-1], tps[i] / tps[-1]) for i, t in enumerate(every) if i in (0, len(every) - 1) or not (straight(fps, i) and straight(tps, i))]
+    got = sorted(((x.threshold, x.fpr, x.tpr) for x in found if x.threshold is not None), reverse=True)
+    assert [g[0] for g in got] == [w[0] for w in want] and len(want) < len(every) - 8
+    assert all(g[1:] == pytest.approx(w[1:], abs=1e-6) for g, w in zip(got, want, strict=True))
+    assert [tuple(x) for x in found if x.threshold is None] == [(None, 0.0, 0.0)]
+
+
 def test_auc_and_roc_by_brute_force(spark):
     data = [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.1), (0, 0.4), (1, 0.8), (0, 0.2)]
     df = spark.createDataFrame([(y, s, int(s > 0.5)) for y, s in data], "label int, score double, prediction int")

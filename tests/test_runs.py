@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.constants import RAW_COLUMNS
-from earshot.learning.models import Settings
+from earshot.learning.kmeans import Centres
+from earshot.learning.models import Settings, load_models
 from earshot.plans import feature_table, runs
 from earshot.plans.workspace import Workspace
 from earshot.sources import plays as readers
@@ -17,6 +18,7 @@ def out(spark, small_dir, tmp_path_factory):
     raw = sinks.write_stage(Workspace(spark, small_dir).dirty.select(*RAW_COLUMNS), f"{folder}/raw", "csv")
     paths = runs.clean_run(spark, raw, folder)
     paths |= runs.feature_run(spark, paths["plays"], folder)
+    paths |= runs.report_run(spark, paths["plays"], f"{folder}/reports")
     settings = Settings(trees=3, tree_depth=3, iterations=10, rounds=2, round_depth=2, folds=2)
     return paths | runs.model_run(spark, paths["features"], folder, settings, ks=(2, 3))
 
@@ -32,6 +34,29 @@ def test_every_step_writes_its_tables(spark, out):
     assert audit[("rows", "deduplicated")] == cleaned.count()
 
 
+def test_reports_are_written_and_come_back(spark, out):
+    for name in runs.REPORT_TABLES:
+        table = spark.read.csv(out[name], header=True)
+        assert table.count() > 0, name
+    wide, stats = spark.read.parquet(out["wide_plays"]), spark.read.parquet(out["session_statistics"])
+    assert wide.count() == spark.read.parquet(out["plays"]).count() == spark.read.parquet(out["session_events"]).count()
+    summary = spark.read.csv(out["session_summary"], header=True, inferSchema=True).first()
+    assert summary.sessions == stats.count()
+    durations = sorted(r[0] for r in stats.select("session_duration_minutes").collect())
+    middle = (durations[(len(durations) - 1) // 2] + durations[len(durations) // 2]) / 2
+    assert summary.median_duration == pytest.approx(middle)
+
+
+def test_saved_segments_come_back(spark, out):
+    """The scaler and the centres read from disk put every entity where the run had put it."""
+    segments = spark.read.parquet(out["segments"])
+    scaler = load_models({"scaler": out["scaler"]})["scaler"]
+    again = Centres.load(spark, out["centres"]).transform(scaler.transform(segments.drop("cluster")))
+    pick = lambda df: sorted(map(tuple, df.select("track_uri", "cluster").collect()))
+    assert pick(again) == pick(segments)
+    assert spark.read.csv(out["model_summary"], header=True).count() == 3
+
+
 def test_date_filters_prune_files(spark, out):
     one = spark.read.parquet(out["plays"]).where("date = '2024-01-05'")
     assert "PartitionFilters: [isnotnull(date" in one._jdf.queryExecution().executedPlan().toString()
