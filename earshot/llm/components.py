@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.scratch import Scratch
@@ -20,8 +20,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     and repeated links do not matter.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = scratch.stage(edges, "links")
-    before = _print(edges)
+    edges, before = scratch.stage_observed(edges, "links", *_print())
     while True:
         # link tables are often much smaller than what the shuffles are sized for; a round makes no more links than it got
         files = max(1, -(-before[0] // SHARE))
@@ -33,18 +32,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         # small star: u and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        small = scratch.stage(moved.where("u <> v").distinct().coalesce(files), "small_star")
-        scratch.drop(large)
-        after = _print(small)
-        same, before = after == before, after
-        scratch.drop(edges)
-        edges = small
+        small, after = scratch.stage_observed(moved.where("u <> v").distinct().coalesce(files), "small_star", *_print())
+        scratch.drop(large, edges)
+        same, before, edges = after == before, after, small
         if same:
             break
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def _print(edges: DataFrame) -> tuple:
-    """Equal for equal sets of links."""
-    return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _print() -> tuple[Column, Column]:
+    """Equal for equal sets of links: how many, and the sum of their hashes."""
+    return F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")

@@ -9,7 +9,8 @@
 3. The nodes of a list are compared with the first of them. The sketch of the union estimates the similarity of a
    pair; what passes is confirmed on the full sets.
 4. What the estimate found near forms clusters, which take in the rest of the long lists they lie in. Components of
-   one cluster are compared in blocks, and pairs that meet in a list without sharing a cluster one by one. No two
+   one cluster are compared in blocks by their full sets. Nodes that meet in a list without sharing a cluster are
+   compared by their sketches within the list (long lists in blocks, too), and only what passes leaves the task. No two
    nodes of a component are compared.
 5. Links join representatives into components; members follow through their class.
 
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,10 @@ from earshot.llm.scratch import Scratch
 MISS = 1e-9
 #: Lists of each node that are compared with their first node, and how long one must be to be a cluster by itself.
 WIDEST, WIDE = 3, 64
-#: Bytes of sets in a block, and columns of the matrix made of them at once.
-BLOCK, COLUMNS = 1 << 20, 4096
+#: Bytes of sets and number of sets in a block, columns of the matrix made of them at once, and nodes of a list's block.
+BLOCK, BLOCK_SETS, COLUMNS, LIST = 1 << 20, 2048, 4096, 2048
+#: Nodes of a list that are compared pair by pair rather than by a matrix.
+FEW = 12
 
 
 @dataclass(frozen=True)
@@ -195,10 +197,12 @@ class _Search:
         nodes = self.scratch.stage(nodes.join(sizes, "node"), "clustered")
         parts = nodes.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
         parts = parts.groupBy("cluster").agg(
-            F.max_by("root", "c").alias("most"), F.max_by("n", "c").alias("most_n"), F.sum("n").alias("all_n"), F.count("*").alias("parts")
+            F.max_by("root", "c").alias("most"), F.max_by("n", "c").alias("most_n"), F.max("c").alias("most_c"), F.sum("n").alias("all_n"),
+            F.sum("c").alias("all_c"), F.count("*").alias("parts"),
         ).where("parts > 1")
-        blocks = lambda n: F.ceil(n * 8 / F.lit(BLOCK)).cast("int")
-        parts = parts.select("cluster", "most", blocks(F.col("all_n")).alias("blocks"), F.greatest(F.lit(1), blocks(F.col("all_n") - F.col("most_n"))).alias("few_blocks"))
+        blocks = lambda n, c: F.greatest(F.lit(1), F.ceil(n * 8 / F.lit(BLOCK)), F.ceil(c / F.lit(BLOCK_SETS))).cast("int")
+        few = blocks(F.col("all_n") - F.col("most_n"), F.col("all_c") - F.col("most_c"))
+        parts = parts.select("cluster", "most", blocks(F.col("all_n"), F.col("all_c")).alias("blocks"), few.alias("few_blocks"))
         live = self.scratch.stage(nodes.join(parts, "cluster"), "live_clusters")
         sets = self.full_sets(live.select("node").distinct())
         own = lambda b: F.pmod(F.xxhash64("node"), F.col(b)).cast("int")
@@ -206,11 +210,26 @@ class _Search:
         every = live.select("cluster", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), own("blocks").alias("j"), "node", "root", F.lit(1).alias("side"))
         rows = few.unionByName(every).join(sets, "node")
         links = self.scratch.stage(
-            rows.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(self.rule.percent), "a bigint, b bigint"), "block_links"
+            rows.groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(self.rule.percent), "a bigint, b bigint"), "block_links"
         )
         self.scratch.drop(nodes, live, sets)
         return links
 
+    def near_in_lists(self, lists: DataFrame) -> DataFrame:
+        """Pairs that meet in a list, in different components and clusters, and whose sketches pass."""
+        parts = lists.groupBy("v", "root").count()
+        open_ = parts.groupBy("v").agg(F.max_by("root", "count").alias("most"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+        live = self.scratch.stage(lists.select("v", "node", "n", "root", "clusters").join(open_.select("v", "most", "size"), "v"), "live_lists")
+        sketches = self.nodes.groupBy("node", "n").agg(F.first("sketch").alias("sketch"))
+        blocks = F.ceil(F.col("size") / LIST).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        dealt = live.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cells = dealt.select(
+            "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", (F.col("root") != F.col("most")).alias("few"), "clusters"
+        ).join(sketches, ["node", "n"])
+        found = cells.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(_compare_lists(self.rule), "a bigint, b bigint")
+        return found
+
     def components(self) -> DataFrame:
         stage, drop = self.scratch.stage, self.scratch.drop
         posted = stage(self.postings(), "postings")
@@ -223,7 +242,7 @@ class _Search:
         blocks = self.block_links(clusters, root)
         of_node = clusters.groupBy("node").agg(F.collect_set("cluster").alias("clusters"))  # at most 1 + WIDEST
         lists = posted.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(of_node, "node", "left")
-        rest = _to_the_rest(lists, self.rule.percent).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        rest = self.near_in_lists(lists).distinct()
         rest = stage(rest.join(first, ["a", "b"], "left_anti"), "pairs")
         more_likely, more = self.linked(rest)
         found = stage(components(linked.union(blocks).union(more), self.scratch), "components")
@@ -231,38 +250,111 @@ class _Search:
         return found
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common, as a matrix."""
+    both = np.zeros((len(x), len(y)), np.float32)
+    sides = [np.concatenate(s) for s in (x, y)]
+    shared = np.intersect1d(*sides)
+    at = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    for s in (0, 1):
+        found = np.isin(sides[s], shared)
+        sides[s], at[s] = np.searchsorted(shared, sides[s][found]), at[s][found]
+    for low in range(0, len(shared), COLUMNS):
+        dense = []
+        for s, n in enumerate(both.shape):
+            inside = (sides[s] >= low) & (sides[s] < low + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            m[at[s][inside], sides[s][inside] - low] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    return both.astype(np.int32)
+
+
 def _compare_blocks(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sides = [rows[rows["side"] == s] for s in (0, 1)]
-        sets = [[np.frombuffer(x, np.int64) for x in s["members"]] for s in sides]
-        sizes = [np.array([len(x) for x in s], np.int64) for s in sets]
-        if not len(sizes[0]) or not len(sizes[1]):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        values = [np.concatenate(s) for s in sets]
-        shared = np.intersect1d(*values)
-        at = [np.repeat(np.arange(len(n)), n) for n in sizes]
-        for s in (0, 1):
-            found = np.isin(values[s], shared)
-            values[s], at[s] = np.searchsorted(shared, values[s][found]), at[s][found]
-        both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-        for low in range(0, len(shared), COLUMNS):
-            dense = []
-            for s in (0, 1):
-                inside = (values[s] >= low) & (values[s] < low + COLUMNS)
-                x = np.zeros((len(sizes[s]), min(COLUMNS, len(shared) - low)), np.float32)
-                x[at[s][inside], values[s][inside] - low] = 1
-                dense.append(x)
-            both += dense[0] @ dense[1].T
-        both = both.astype(np.int64)
-        roots = [s["root"].to_numpy() for s in sides]
-        linked = (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & (roots[0][:, None] != roots[1][None, :])
-        x, y = np.nonzero(linked)
-        ends = pd.DataFrame({"a": sides[0]["node"].to_numpy()[x], "b": sides[1]["node"].to_numpy()[y], "r": roots[0][x], "q": roots[1][y]})
-        return ends.drop_duplicates(["r", "q"])[["a", "b"]]
+    def run(rows: pa.Table) -> pa.Table:
+        side, node, root = (rows.column(c).to_numpy() for c in ("side", "node", "root"))
+        members = rows.column("members").to_pylist()
+        at = [np.flatnonzero(side == s) for s in (0, 1)]
+        none = np.zeros(0, np.int64)
+        if not len(at[0]) or not len(at[1]):
+            return pa.table({"a": none, "b": none})
+        sets = [[np.frombuffer(members[i], np.int64) for i in a] for a in at]
+        sizes = [np.array([len(x) for x in s], np.int32) for s in sets]
+        both = _shared(*sets)
+        roots = [root[a] for a in at]
+        x, y = np.nonzero(100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both))
+        apart = roots[0][x] != roots[1][y]
+        x, y = x[apart], y[apart]
+        _, one = np.unique(np.stack([roots[0][x], roots[1][y]]), axis=1, return_index=True)
+        return pa.table({"a": node[at[0]][x[one]], "b": node[at[1]][y[one]]})
 
     return run
 
 
+class _ListNode:
+    __slots__ = ("clusters", "few", "n", "node", "own", "root", "sketch")
+
+    def __init__(self, own: int, node: int, n: int, root: int, few: bool, clusters: list | None, sketch: list):
+        self.own, self.node, self.n, self.root, self.few = own, node, n, root, few
+        self.clusters, self.sketch = set(clusters or ()), np.array(sketch, np.int64)
+
+
+def _compare_lists(rule: Rule):
+    sure, k, percent = rule.sure_overlap(), rule.k, rule.percent
+
+    def apart(x: _ListNode, y: _ListNode) -> bool:
+        similar = 100 * min(x.n, y.n) >= percent * max(x.n, y.n)
+        return similar and x.root != y.root and (x.few or y.few) and not x.clusters & y.clusters
+
+    def near(x: _ListNode, y: _ListNode) -> bool:
+        """As for first pairs: whole sets are compared, otherwise the sketch of the union estimates."""
+        shared = np.intersect1d(x.sketch, y.sketch, assume_unique=True)
+        if max(x.n, y.n) <= k:
+            return 100 * len(shared) >= percent * (x.n + y.n - len(shared))
+        union = np.union1d(x.sketch, y.sketch)
+        return np.count_nonzero(shared <= union[min(k, len(union)) - 1]) >= sure
+
+    def pairs(cell: tuple, nodes: list[_ListNode]) -> Iterator[tuple[int, int]]:
+        _, i, j = cell
+        low = [x for x in nodes if x.own == i]
+        high = low if i == j else [x for x in nodes if x.own == j]
+        if len(nodes) <= FEW:
+            met = ((x, y) for p, x in enumerate(low) for y in (low[p + 1 :] if i == j else high))
+        elif not low or not high:
+            return
+        else:
+            both = _shared([x.sketch for x in low], [x.sketch for x in high])
+            n, m = (np.array([x.n for x in s]) for s in (low, high))
+            whole = (n[:, None] <= k) & (m[None, :] <= k)
+            enough = np.where(whole, 100 * both >= percent * (n[:, None] + m[None, :] - both), both >= sure)
+            if i == j:
+                enough = np.triu(enough, 1)
+            met = ((low[p], high[q]) for p, q in np.argwhere(enough))
+        for x, y in met:
+            if apart(x, y) and near(x, y):
+                yield min(x.node, y.node), max(x.node, y.node)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            columns = (batch.column(c).to_pylist() for c in ("v", "i", "j", "own", "node", "n", "root", "few", "clusters", "sketch"))
+            for v, i, j, *rest in zip(*columns, strict=True):
+                if cell != (v, i, j):
+                    found += pairs(cell, nodes) if nodes else ()
+                    cell, nodes = (v, i, j), []
+                nodes.append(_ListNode(*rest))
+            yield _pairs(found)
+        yield _pairs(list(pairs(cell, nodes)) if nodes else [])
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    table = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["a", "b"])
+
+
 def _to_first(lists: DataFrame) -> DataFrame:
     """Every node with the smallest one of its widest lists."""
     big = lists.where("big")
@@ -281,22 +373,6 @@ def _clusters(posted: DataFrame, coarse: DataFrame) -> DataFrame:
     return own.union(big.select("v", "node").join(wide, "v").select("node", "label")).distinct()
 
 
-def _to_the_rest(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of similar size in different components and clusters that meet in a list, one side outside the
-    list's largest component; each pair only in the first list that both are in."""
-    parts = lists.groupBy("v", "root").count()
-    open_ = parts.groupBy("v").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    live = lists.join(open_.select("v", "most"), "v")
-    own = live.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("count", "v"))), lambda s: s["v"]).alias("values"))
-    live = live.join(own, "node")
-    few = live.where("root <> most").select("v", F.col("node").alias("x"), F.col("root").alias("r"), F.col("n").alias("m"), F.col("values").alias("w"), F.col("clusters").alias("c"))
-    similar = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    first = F.get(F.array_intersect("w", "values"), F.lit(0)) == F.col("first_v")
-    few = few.withColumn("first_v", F.col("v"))
-    apart = (F.col("r") != F.col("root")) & F.coalesce(~F.arrays_overlap("c", "clusters"), F.lit(True))
-    return few.join(live, (few["v"] == live["v"]) & apart & similar & first).select("x", F.col("node").alias("y"))
-
-
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text, ...)``."""
     search = _Search(docs, rule, Scratch(docs.sparkSession))
@@ -319,6 +395,8 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     found = near_duplicates(docs, rule)
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
+    # rows that share an id are one document: each of its texts stays once, in the row that comes first as JSON
     again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(one)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return left.join(again, "doc_id", "left_anti").unionByName(one.select("row.*"))

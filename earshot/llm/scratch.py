@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from earshot.sources import staging
 
@@ -21,6 +21,12 @@ class Scratch:
         self._paths.append((back, path))
         return back
 
+    def stage_observed(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, tuple]:
+        """The table, and measures of all its rows that are taken while it is written."""
+        seen = Observation()
+        table = self.stage(df.observe(seen, *measures), name)
+        return table, tuple(seen.get.values())
+
     def drop(self, *tables: DataFrame) -> None:
         """Tables of others are left alone."""
         for table in tables:
