@@ -17,8 +17,9 @@ from earshot.plans import measures as m
 from earshot.plans.workspace import Workspace
 from earshot.sources import plays as readers
 from earshot.sources import sinks
-from earshot.sources.staging import stage_path
+from earshot.sources.staging import stage, stage_path
 from earshot.streaming import jobs
+from earshot.streaming import plays as stream_plays
 
 # Ten-minute gaps give many sessions on the test tables; per listener the log is sparser.
 GAP = timedelta(minutes=10)
@@ -590,6 +591,26 @@ def _drained(ws: Workspace, job: Callable[[DataFrame], DataFrame], name: str) ->
 
 
 _STREAMED = ("event_id", "user_id", "timestamp", "ms_played", "is_skip")
+_LISTENED = ("event_id", "user_id", "timestamp", "platform", "is_skip", "percent_played", "engagement_score")
+_SHARES = (
+    "prev_track_completion", "rolling_5_skip_rate", "rolling_5_avg_completion", "session_skip_rate", "session_avg_engagement", "session_duration_minutes",
+)
+
+
+def _listened(ws: Workspace, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    plays = ws.plays.select(*_LISTENED)
+    folder = sinks.write_stage(plays, stage_path(ws.spark, "stream_in"))
+    return jobs.run_to_table(job(jobs.read_stream(ws.spark, folder, plays)), name, lambda: jobs.close_stream(folder, plays))
+
+
+def _play_model(ws: Workspace):
+    """Trained on the batch's features, for the stream's."""
+    def trained():
+        plays = ws.plays.select(*_LISTENED)
+        featured = stream_plays.keyed_features(plays, LISTENER_GAP).join(plays.select("event_id", "is_skip"), "event_id")
+        return models.train(models.LOGISTIC, stage(stream_plays.play_matrix(featured), "play_matrix"), SETTINGS)
+
+    return ws.keep("play model", trained)
 
 STREAMS: dict[str, Query] = {
     "xs1_stream_sessions": lambda ws: _rounded(
@@ -603,6 +624,10 @@ STREAMS: dict[str, Query] = {
         jobs.stream_dedupe(_stream(ws, cleaning.parse_ts(ws.dirty).select("event_id", "timestamp", "track_uri"), "stream_in")),
         "stream_dedupe",
     ),
+    "xs4_stream_features": lambda ws: _rounded(
+        _listened(ws, lambda plays: stream_plays.stream_features(plays, LISTENER_GAP), "stream_features"), 6, *_SHARES
+    ),
+    "xs4_stream_scores": lambda ws: _listened(ws, lambda plays: stream_plays.stream_scores(plays, _play_model(ws), LISTENER_GAP), "stream_scores"),
     "xs4_stream_score": lambda ws: jobs.run_to_table(
         jobs.stream_score(
             _stream(ws, matrix.skip_matrix(ws.features), "stream_in"), _model(ws, models.LOGISTIC)
