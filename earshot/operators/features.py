@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from earshot import constants as K
 from earshot.functions import numbers, times
 from earshot.operators.joins import attach
+from earshot.operators.ordered import order_log
 from earshot.sources.staging import stage
 
 MAX_CATEGORIES = 1000
@@ -167,6 +170,35 @@ def one_hot(df: DataFrame, col: str, values: Sequence[str] | None = None, top_k:
     return df.withColumns({f"{col}_{v}": F.when(F.col(col) == v, 1).otherwise(0) for v in values})
 
 
+def dense_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """``<col>, code`` for each value in sorted order from 0, and how many there are; null has no code.
+
+    The codes are places in a range-sorted index of the distinct values, so no task and no driver lists them.
+    """
+    log = order_log(df.where(F.col(col).isNotNull()).select(col).distinct(), (col,))
+    return log.rows.select(col, (F.col("row_index") - 1).alias("code")), log.count
+
+
+def one_hot_sparse(df: DataFrame, col: str, output: str | None = None) -> DataFrame:
+    """A sparse 0/1 vector ``<col>_onehot`` over all values of a column, however many there are; all zero for null.
+
+    Rows carry one index each. A vector is written by its fields and read back as a vector column, so no function runs on
+    single rows.
+    """
+    output = output or f"{col}_onehot"
+    codes, size = dense_codes(df, col)
+    coded = attach(df, codes.withColumnRenamed("code", f"_{output}"), (col,), "codes")
+    index = F.col(f"_{output}").cast("int")
+    some = index.isNotNull()
+    none_i, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+    fields = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"), F.when(some, F.array(index)).otherwise(none_i).alias("indices"),
+        F.when(some, F.array(F.lit(1.0))).otherwise(none_v).alias("values"),
+    )
+    schema = T.StructType([*df.schema.fields, T.StructField(output, VectorUDT())])
+    return stage(coded.select(*df.columns, fields.alias(output)), "one_hot", schema)
+
+
 def add_length_flags(df: DataFrame) -> DataFrame:
     s = F.col("track_length_seconds")
     return df.withColumns({

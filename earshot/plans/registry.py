@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +146,13 @@ def _behaviour(ws: Workspace, *steps: Callable[[DataFrame], DataFrame]) -> DataF
     return df
 
 
+def _one_hot_sparse(ws: Workspace) -> DataFrame:
+    """Size and set place of each play's vector over all tracks."""
+    found = features.one_hot_sparse(ws.plays.select("event_id", "track_name"), "track_name", "v")
+    values = vector_to_array("v")
+    return found.select("event_id", F.size(values).cast("bigint").alias("n_tracks"), (F.array_position(values, 1.0) - 1).alias("track"))
+
+
 def _one_hot(ws: Workspace) -> DataFrame:
     hot = ws.plays.transform(features.one_hot, "platform").transform(features.one_hot, "reason_start", None, 5)
     flagged = features.add_length_flags(hot)
@@ -187,6 +195,7 @@ FEATURES: dict[str, Query] = {
         "event_id", "completion_squared", "track_length_log"
     ),
     "fm4_one_hot": _one_hot,
+    "fm4_one_hot_sparse": _one_hot_sparse,
     "feature_table": lambda ws: _rounded(
         ws.features, 6, "rolling_5_skip_rate", "rolling_5_avg_completion", "track_length_log"
     ),

@@ -13,6 +13,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_roots: dict[str, str] = {}
 
@@ -51,12 +52,12 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and return a reader of the written table."""
+def stage(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and return a reader of the written table, with other types of the same form if given."""
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def stage_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

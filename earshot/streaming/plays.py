@@ -12,16 +12,18 @@ same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import WindowSpec
 
+from earshot.functions.numbers import exact_mean, exact_sum
 from earshot.learning.models import score
-from earshot.operators.ordered import fill_previous, order_log, previous, rolling_mean
+from earshot.operators.ordered import fill_previous, order_log, previous
 from earshot.operators.sessions import assign_sessions
 from earshot.sources.staging import stage
 
@@ -37,8 +39,17 @@ LISTENER_GAP = timedelta(hours=6)
 
 
 def _mean(values: Sequence[float | None]) -> float | None:
-    known = [v for v in values if v is not None]
-    return sum(known) / len(known) if known else None
+    """In whole billionths, as ``exact_mean`` takes it, so that it does not depend on the order."""
+    known = [round(v * 1e9) for v in values if v is not None]
+    return sum(known) / 1e9 / len(known) if known else None
+
+
+def _rolling_mean(value: Column) -> Callable[[WindowSpec], Column]:
+    def over(w: WindowSpec) -> Column:
+        last = w.rowsBetween(1 - ROLLING, 0)
+        return exact_sum(value).over(last).cast("double") / 1e9 / F.count(value).over(last)
+
+    return over
 
 
 def _session_rows(user: int | None, plays: Sequence[tuple], ring: list[tuple]) -> Iterator[Row]:
@@ -120,14 +131,14 @@ def keyed_features(plays: DataFrame, gap: timedelta = LISTENER_GAP, ts: str = "t
     log = order_log(stage(sessions, "keyed_sessions"), (ts, "event_id"), ("user_id",))
     looks = {
         "prev_platform": previous("platform"), "prev_track_skip": previous("is_skip"), "prev_track_completion": previous("percent_played"),
-        "rolling_5_skip_rate": rolling_mean(flag, ROLLING), "rolling_5_avg_completion": rolling_mean(F.col("percent_played"), ROLLING),
+        "rolling_5_skip_rate": _rolling_mean(flag), "rolling_5_avg_completion": _rolling_mean(F.col("percent_played")),
     }
     seen = stage(fill_previous(log.history(looks, reach=ROLLING)), "keyed_history")
     of = ["user_id", "session_id"]
     length = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 6e7
     measures = seen.groupBy(*of).agg(
-        F.count("*").alias("session_track_count"), F.avg(F.when(F.col("is_skip").isNotNull(), flag)).alias("session_skip_rate"),
-        F.avg("engagement_score").alias("session_avg_engagement"), length.alias("session_duration_minutes"), F.min("row_index").alias("_first"),
+        F.count("*").alias("session_track_count"), exact_mean(F.when(F.col("is_skip").isNotNull(), flag)).alias("session_skip_rate"),
+        exact_mean(F.col("engagement_score")).alias("session_avg_engagement"), length.alias("session_duration_minutes"), F.min("row_index").alias("_first"),
     )
     measures = stage(measures, "keyed_sessions_measured").withColumnsRenamed({c: f"_{c}" for c in of})
     same = seen["user_id"].eqNullSafe(measures["_user_id"]) & seen["session_id"].eqNullSafe(measures["_session_id"])

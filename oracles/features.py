@@ -138,6 +138,9 @@ TEXTS = {
         "SELECT event_id, platform_encoded, time_of_day_encoded, listening_quality_encoded FROM features"
     ),
     "fm3_nonlinear": over_features("SELECT event_id, completion_squared, track_length_log FROM features"),
+    "fm4_one_hot_sparse": over_plays(
+        """SELECT event_id, (SELECT count(DISTINCT track_name) FROM plays) AS n_tracks, dense_rank() OVER (ORDER BY track_name) - 1 AS track FROM plays"""
+    ),
     "fm4_one_hot": over_plays(f"SELECT event_id, {ONE_HOT} FROM plays"),
     "feature_table": over_features("SELECT * FROM features"),
     "fl1_where": over_plays(

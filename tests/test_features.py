@@ -104,3 +104,21 @@ def test_rollup_adds_up_to_the_direct_tables(spark, middle_dir):
     )
     for rolled, direct in pairs:
         assert sorted(map(tuple, rolled.select(*direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_sparse_one_hot_of_very_many_values(spark):
+    """A million categories: one index a row, no list of names, usable as a vector column."""
+    n = 1_000_000
+    df = spark.range(n + 500).select((F.col("id") % n).alias("id"), F.concat(F.lit("c"), F.lpad((F.col("id") % n).cast("string"), 7, "0")).alias("name"))
+    found = features.one_hot_sparse(df, "name")
+    size = found.where("id in (0, 7, 999999)").orderBy("id").collect()
+    assert [(r.name_onehot.size, list(r.name_onehot.indices), list(r.name_onehot.values)) for r in size][0] == (n, [0], [1.0])
+    assert {int(r.id): int(r.name_onehot.indices[0]) for r in size} == {0: 0, 7: 7, 999999: 999999}
+    assert found.count() == n + 500
+
+
+def test_sparse_one_hot_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "name string")
+    vectors = sorted((r.name or "", r.v.toArray().tolist()) for r in features.one_hot_sparse(df, "name", "v").collect())
+    assert vectors == [("", [0.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("b", [0.0, 1.0])]
+    assert features.one_hot_sparse(df.limit(0), "name").count() == 0
