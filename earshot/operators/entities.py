@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from earshot import constants as K
 from earshot.functions.numbers import exact_mean, exact_sum, flag, right_closed_bin, round_half_even
 from earshot.functions.times import whole_days_between
-from earshot.operators.joins import attach, with_distinct, with_modes
+from earshot.operators.joins import attach, join_on, with_distinct, with_modes
 
 ENTITY = ("track_uri",)
 
@@ -82,12 +82,16 @@ def artist_stats(plays: DataFrame) -> DataFrame:
     )
 
 
+#: What a play is of.
+CONTENT = ("track_uri", "track_name", "artist_name")
+
+
 def content_rollup(plays: DataFrame) -> DataFrame:
     """Sums per (uri, track, artist), from which entity, track and artist features add up.
 
     One pass over the log instead of one per table; small once staged.
     """
-    return plays.groupBy("track_uri", "track_name", "artist_name").agg(
+    return plays.groupBy(*CONTENT).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("is_skip")).alias("skips"),
         exact_sum(F.col("percent_played")).alias("percent_sum"),
@@ -139,6 +143,12 @@ def rolled_artists(rollup: DataFrame) -> DataFrame:
     )
 
 
+def content_table(rollup: DataFrame, by_entity: DataFrame, by_track: DataFrame, by_artist: DataFrame) -> DataFrame:
+    """Entity, track and artist features for each key of a rollup, so that events meet them all in one join."""
+    keys = rollup.select(*CONTENT)
+    return join_on(join_on(join_on(keys, by_entity, ENTITY), by_track, CONTENT[1:]), by_artist, CONTENT[2:])
+
+
 def popularity(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "track_popularity": right_closed_bin(F.col("track_play_count"), K.TRACK_BINS),

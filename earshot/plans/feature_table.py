@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from earshot.constants import TS_FORMAT
 from earshot.functions.times import micros_between
 from earshot.operators import entities, features, ordered, sessions
-from earshot.sources.staging import stage_all
+from earshot.operators.joins import join_on
+from earshot.sources.staging import stage, stage_all
 
 # Column order of the result, by group.
 CLEANED = (
@@ -53,8 +54,10 @@ def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = Fal
 
     One range shuffle orders the narrow log. Sessions, categories and one content rollup read it
     back with only their columns, as concurrent jobs; entity, track and artist tables add up from
-    the rollup. All are staged so that the final joins know their sizes. The final pass
-    takes lags and rolling means per chunk and joins the tables: events are sorted once.
+    the rollup and are joined to its keys first, so that events meet one table of contents. All are
+    staged so that the final joins know their sizes. The final pass takes lags and rolling means per
+    chunk and joins contents and sessions: events are sorted once and, where no table can be broadcast,
+    move five times.
     ``leak_free`` keeps the current play out of the rolling means.
     """
     small = stage_all({
@@ -81,6 +84,7 @@ def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = Fal
         "artist_stats": entities.rolled_artists(rollup),
     })
 
+    content = stage(entities.content_table(rollup, side["entity_features"], side["track_stats"], side["artist_stats"]), "content")
     skip = F.when(F.col("is_skip"), 1.0).otherwise(0.0)
     seen = log.history(
         {
@@ -95,9 +99,7 @@ def build(plays: DataFrame, gap: timedelta = sessions.GAP, leak_free: bool = Fal
     )
     out = (
         sessions.join_sessions(features.temporal(ordered.fill_previous(seen)), bucket_map, gap)
-        .join(side["entity_features"], "track_uri", "left")
-        .join(side["track_stats"], ["track_name", "artist_name"], "left")
-        .join(side["artist_stats"], "artist_name", "left")
+        .transform(join_on, content, entities.CONTENT)
         .join(side["session_features"], "session_id", "left")
     )
     out = entities.popularity(features.attach_codes(out, side["codes"], encoded)).withColumns({

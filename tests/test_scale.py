@@ -70,3 +70,19 @@ def test_no_cartesian_products(ws):
     for name in ("ag3_platform_report", "ag29_executive_summary", "ag37_histogram_tracks", "rt7_insights", "se12_session_summary"):
         text = plan(queries[name](ws))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_features_move_events_three_times_after_sorting(spark, ws):
+    """Without broadcasts: to the chunks, to their contents and to their sessions; all else is small."""
+    from earshot.plans import feature_table
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        table = feature_table.build(ws.base, ws.gap)
+        text = plan(table)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = [re.findall(r"(\w+)#", line)[0].removeprefix("_key_") for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys.count("_chunk") == 1 and keys.count("track_uri") == 2 and keys.count("session_id") == 2
+    assert not [k for k in keys if k in ("track_name", "artist_name")]
