@@ -24,7 +24,9 @@ from earshot.llm.scratch import Scratch, fresh
 LIMIT = 32 << 20
 #: Counted for each row beside its text.
 ROW_BYTES = 32
-SPARE_BITS, MORE_BITS, SALTS = 5, 12, 32
+SPARE_BITS, MORE_BITS = 5, 12
+#: Equal rows that one task numbers.
+SALT_ROWS = 50_000
 
 
 def _prefix(depth: Column | int) -> Column:
@@ -64,7 +66,7 @@ def _levels(counted: DataFrame, limit: int, scratch: Scratch) -> tuple[list[tupl
         low, high = high + 1, min(64, high + MORE_BITS)
 
 
-def _place(rows: DataFrame, levels: list[tuple[int, DataFrame]], equal_left: bool, limit: int) -> DataFrame:
+def _place(rows: DataFrame, levels: list[tuple[int, DataFrame]], equal_left: bool, limit: int, scratch: Scratch) -> DataFrame:
     """``rows`` (with ``h`` and ``bytes``) with ``shard_id`` and ``depth``."""
     columns, placed = rows.columns, []
     for high, cells in levels:
@@ -72,18 +74,21 @@ def _place(rows: DataFrame, levels: list[tuple[int, DataFrame]], equal_left: boo
         placed.append(split.where("depth is not null").select(*columns, "depth", _name(F.col("depth"), _prefix(F.col("depth"))).alias("shard_id")))
         rows = split.where("depth is null").select(*columns)
     if equal_left:
-        placed.append(_pages(rows, limit))
+        placed.append(_pages(rows, limit, scratch))
     return reduce(DataFrame.unionByName, placed)
 
 
-def _pages(equal: DataFrame, limit: int) -> DataFrame:
-    """Rows of one hash, dealt into pages that fit (or hold one row)."""
-    salted = equal.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+def _pages(equal: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Rows of one hash, dealt into pages that fit (or hold one row). How rows are dealt depends on where they lie, so the
+    result is staged: a task that runs again later finds each row in the same page."""
+    salts = F.ceil(F.count("*") / F.lit(SALT_ROWS)).alias("salts")
+    counted = scratch.stage(equal.groupBy("h").agg(salts), "equal_rows")
+    salted = equal.join(counted, "h").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts"))).drop("salts")
     number = F.row_number().over(Window.partitionBy("h", "salt").orderBy("bytes"))
     largest = F.max("bytes").over(Window.partitionBy("h", "salt"))
     page = F.floor((number - 1) / F.greatest(F.lit(1), F.floor(F.lit(limit) / largest)))
     name = F.concat_ws("-", F.lpad(F.bin("h"), 64, "0"), F.col("salt").cast("string"), page.cast("string"))
-    return salted.withColumn("shard_id", name).select(*equal.columns, F.lit(64).alias("depth"), "shard_id")
+    return scratch.stage(salted.withColumn("shard_id", name).select(*equal.columns, F.lit(64).alias("depth"), "shard_id"), "pages")
 
 
 def _hashed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -98,7 +103,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.stage(_hashed(docs, F.col("doc_id").cast("bigint")), "rows")
     levels, equal_left = _levels(rows.select("h", "bytes"), limit, scratch)
-    placed = scratch.stage(_place(rows, levels, equal_left, limit), "placed")
+    placed = scratch.stage(_place(rows, levels, equal_left, limit, scratch), "placed")
     sizes = placed.groupBy("shard_id").agg(F.count("*").alias("shard_rows"), F.sum("bytes").alias("shard_bytes"))
     sizes = scratch.stage(sizes, "sizes")
     return placed.join(sizes, "shard_id").select("doc_id", "shard_id", F.col("depth").cast("int").alias("depth"), "shard_rows", "shard_bytes")
@@ -110,5 +115,5 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     counted = scratch.stage(_hashed(docs), "rows")
     levels, equal_left = _levels(counted, limit, scratch)
     (shard,) = fresh(docs, "shard_id")
-    placed = _place(_hashed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")), levels, equal_left, limit)
+    placed = _place(_hashed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")), levels, equal_left, limit, scratch)
     placed.select("row.*", F.col("shard_id").alias(shard)).repartition(shard).write.partitionBy(shard).parquet(path)

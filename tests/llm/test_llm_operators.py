@@ -450,7 +450,30 @@ def test_shards_fit_and_split_only_when_needed(docs, nothing, limit):
     assert sharding.assign(nothing, limit).count() == 0
 
 
-def test_shards_deal_equal_rows_into_pages(spark, tmp_path):
+def plain_shards(sizes, limit, depth=0, prefix=0):
+    """Extendible hashing a bit at a time: {hash: (depth, prefix)} of the distinct hashes with their bytes."""
+    if sum(sizes.values()) <= limit or depth == 64:
+        return {h: (depth, prefix) for h in sizes}
+    out = {}
+    for bit in (0, 1):
+        half = {h: b for h, b in sizes.items() if (h >> (63 - depth)) & 1 == bit}
+        out |= plain_shards(half, limit, depth + 1, 2 * prefix + bit) if half else {}
+    return out
+
+
+@pytest.mark.parametrize("limit", [200, 3_000, 70_000])
+def test_shards_match_splitting_bit_by_bit(spark, docs, limit):
+    hashed = docs.selectExpr("doc_id", "xxhash64(cast(doc_id as bigint), text) as h", f"coalesce(octet_length(text), 0) + {sharding.ROW_BYTES} as bytes").collect()
+    sizes = {}
+    for r in hashed:
+        sizes[r.h % 2**64] = sizes.get(r.h % 2**64, 0) + r.bytes
+    want = plain_shards(sizes, limit)
+    names = sorted((repr(r.doc_id), f"{want[r.h % 2**64][1]:0{want[r.h % 2**64][0]}b}" if want[r.h % 2**64][0] else "") for r in hashed)
+    assert sorted((repr(r.doc_id), r.shard_id.split("-")[0]) for r in sharding.assign(docs, limit).collect()) == names
+
+
+def test_shards_deal_equal_rows_into_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "SALT_ROWS", 150)
     frame = spark.range(2000).selectExpr("7 as doc_id", "'same text' as text", "id as h")
     limit = 50 * (9 + sharding.ROW_BYTES)
     found = sharding.assign(frame, limit)
