@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.components import components
+from earshot.llm.components import components, forest
 from earshot.llm.scratch import Scratch
 from earshot.operators.ordered import order_log
 
@@ -154,24 +154,6 @@ def _leaf_pairs(levels: list[DataFrame], distance: int, scratch: Scratch) -> Dat
     return pairs
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what ``a[i] - b[i]`` connect, one for each node but the smallest of its component."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    other = root != np.arange(len(nodes))
-    return nodes[other], nodes[root[other]]
-
-
 def _compare(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
