@@ -115,6 +115,29 @@ ONE_HOT = ", ".join(
        "CASE WHEN track_length_seconds < 120 THEN 1 ELSE 0 END AS is_short_track", "CAST(shuffle AS INTEGER) AS shuffle_int"]
 )
 
+# What a column name must contain or start with to count for a group, and Spark's names of types.
+_PARTS = {
+    "temporal": ("hour", "day", "time", "season", "weekend", "morning", "evening", "night", "peak"),
+    "behavioral": ("skip", "completion", "engagement", "listening", "quality"),
+    "content": ("track_", "artist_", "album_"),
+}
+_STARTS = {"user": "user_", "session": "session_"}
+_TYPES = {"VARCHAR": "string", "INTEGER": "int"}
+
+
+def _inventory() -> str:
+    groups = {g: " OR ".join(f"contains(c, '{p}')" for p in parts) for g, parts in _PARTS.items()} | {g: f"starts_with(c, '{s}')" for g, s in _STARTS.items()}
+    named = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())
+    columns = r"(UNPIVOT (SELECT typeof(COLUMNS('(.*)')) AS '\1' FROM features LIMIT 1) ON COLUMNS(*) INTO NAME c VALUE t)"
+    counted = "".join(f" UNION ALL SELECT 'group', '{g}', count(*) FILTER ({x}) FROM cols" for g, x in groups.items())
+    return (
+        f"SELECT * FROM (WITH cols AS MATERIALIZED (SELECT lower(c) AS c, CASE t {named} ELSE lower(t) END AS t FROM {columns}) "
+        f"SELECT 'all' AS kind, 'columns' AS name, count(*) AS n_columns FROM cols{counted} UNION ALL SELECT 'type', t, count(*) FROM cols GROUP BY t)"
+    )
+
+
+_INVENTORY = _inventory()
+
 TEXTS = {
     "ft1_calendar": _cols("hour_of_day, day_of_week, day_of_week_num, month, year, date, week_of_year"),
     "ft2_week_flags": _cols("is_weekend, is_workday"),
@@ -246,6 +269,7 @@ TEXTS = {
         """SELECT artist_name, mode() WITHIN GROUP (ORDER BY platform) AS platform, mode() WITHIN GROUP (ORDER BY reason_start) AS reason_start,
  mode() WITHIN GROUP (ORDER BY hour_of_day) AS hour_of_day FROM plays GROUP BY 1"""
     ),
+    "dq12_feature_inventory": over_features(_INVENTORY),
     "rt4_entity_segment": over_features(
         "SELECT DISTINCT track_uri, user_play_count AS play_count, user_skip_rate AS skip_rate, user_avg_engagement AS avg_engagement, user_segment FROM features"
     ),
