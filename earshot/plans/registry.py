@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from earshot import constants as K
 from earshot.functions import numbers, texts, times
-from earshot.learning import clusters, matrix, models, scores
+from earshot.learning import clusters, kmeans, matrix, models, scores
 from earshot.operators import cleaning, entities, features, joins, ordered, pivots, quality, sessions, trends
 from earshot.plans import activity, content, kpis, platforms, retention, runs, segments, session_reports, skips
 from earshot.plans import measures as m
@@ -497,6 +498,25 @@ def _reloaded(ws: Workspace) -> DataFrame:
     return models.score(loaded, ws.test).select("event_id", "label", "prediction", "score")
 
 
+def _saved_agree(ws: Workspace) -> DataFrame:
+    """Rows, and rows that get the same answer, before and after a classifier and the segments' scaler and centres were
+    saved and loaded."""
+    found, folder = _clustering(ws), stage_path(ws.spark, "saved")
+    paths = models.save_models({models.LOGISTIC: _model(ws, models.LOGISTIC), "scaler": found.scaler}, folder)
+    found.model.save(ws.spark, f"{folder}/centres")
+    loaded = models.load_models(paths)
+    scored = (models.score(m, ws.test).select("event_id", "prediction", "score") for m in (_model(ws, models.LOGISTIC), loaded[models.LOGISTIC]))
+    again = kmeans.Centres.load(ws.spark, f"{folder}/centres").transform(loaded["scaler"].transform(found.assigned.drop("cluster")))
+    pairs = {"classifier": (*scored, "event_id"), "segments": (found.assigned.select("track_uri", "cluster"), again.select("track_uri", "cluster"), "track_uri")}
+    counted = []
+    for part, (a, b, key) in pairs.items():
+        values = [c for c in a.columns if c != key]
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in values])
+        both = a.join(b.withColumnsRenamed({c: f"_{c}" for c in values}), key, "left")
+        counted.append(both.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.count_if(same).alias("n_same")))
+    return counted[0].unionByName(counted[1])
+
+
 def _by_completion(ws: Workspace) -> DataFrame:
     """A score that needs no training: how much of the track was left unplayed."""
     left = 1 - F.col("completion_score")
@@ -582,6 +602,7 @@ LEARNING: dict[str, Query] = {
     ),
     "snk3_write_json": _written_json,
     "snk4_save_models": _reloaded,
+    "snk4_saved_agree": _saved_agree,
 }
 
 # ---------------------------------------------------------------- streams

@@ -72,6 +72,13 @@ TEXTS = {
     ),
     "ml9_binary_metrics": sql(SCORED, _METRICS),
     "snk3_write_json": sql(SCORED, _METRICS),
+    "snk4_saved_agree": over_plays(
+        f"""SELECT 'classifier' AS part, n, n AS n_same FROM (SELECT count(*) AS n FROM (
+ SELECT *, count(*) OVER (PARTITION BY label) AS n,
+  count(*) OVER (PARTITION BY label ORDER BY u RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY label, u) AS before
+ FROM (SELECT CAST(is_skip AS INTEGER) AS label, {_U} AS u FROM plays)) WHERE before < n * 0.2e0)
+ UNION ALL SELECT 'segments', n, n FROM (SELECT count(*) AS n FROM (SELECT track_uri FROM plays GROUP BY track_uri HAVING count(*) >= 5))"""
+    ),
     "ml13_confusion": sql(SCORED, "SELECT label, prediction, count(*) AS n FROM scored GROUP BY 1, 2"),
     "ml13_report": sql(SCORED, _PER_CLASS),
     "ml14_roc": sql(
