@@ -221,12 +221,13 @@ class _Search:
         open_ = parts.groupBy("v").agg(F.max_by("root", "count").alias("most"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
         live = self.scratch.stage(lists.select("v", "node", "n", "root", "clusters").join(open_.select("v", "most", "size"), "v"), "live_lists")
         sketches = self.nodes.groupBy("node", "n").agg(F.first("sketch").alias("sketch"))
+        own_lists = live.groupBy("node").agg(F.collect_set("v").alias("lists"))  # at most as many as a sketch has values
         blocks = F.ceil(F.col("size") / LIST).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         dealt = live.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         cells = dealt.select(
             "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "root", (F.col("root") != F.col("most")).alias("few"), "clusters"
-        ).join(sketches, ["node", "n"])
+        ).join(sketches, ["node", "n"]).join(own_lists, "node")
         found = cells.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(_compare_lists(self.rule), "a bigint, b bigint")
         return found
 
@@ -292,19 +293,20 @@ def _compare_blocks(percent: int):
 
 
 class _ListNode:
-    __slots__ = ("clusters", "few", "n", "node", "own", "root", "sketch")
+    __slots__ = ("clusters", "few", "lists", "n", "node", "own", "root", "sketch")
 
-    def __init__(self, own: int, node: int, n: int, root: int, few: bool, clusters: list | None, sketch: list):
+    def __init__(self, own: int, node: int, n: int, root: int, few: bool, clusters: list | None, sketch: list, lists: list):
         self.own, self.node, self.n, self.root, self.few = own, node, n, root, few
-        self.clusters, self.sketch = set(clusters or ()), np.array(sketch, np.int64)
+        self.clusters, self.lists, self.sketch = set(clusters or ()), set(lists), np.array(sketch, np.int64)
 
 
 def _compare_lists(rule: Rule):
     sure, k, percent = rule.sure_overlap(), rule.k, rule.percent
 
-    def apart(x: _ListNode, y: _ListNode) -> bool:
+    def apart(v: int, x: _ListNode, y: _ListNode) -> bool:
+        """Whether the pair is to be looked at, and in this list: the first of those that both are in."""
         similar = 100 * min(x.n, y.n) >= percent * max(x.n, y.n)
-        return similar and x.root != y.root and (x.few or y.few) and not x.clusters & y.clusters
+        return similar and x.root != y.root and (x.few or y.few) and not x.clusters & y.clusters and min(x.lists & y.lists) == v
 
     def near(x: _ListNode, y: _ListNode) -> bool:
         """As for first pairs: whole sets are compared, otherwise the sketch of the union estimates."""
@@ -315,7 +317,7 @@ def _compare_lists(rule: Rule):
         return np.count_nonzero(shared <= union[min(k, len(union)) - 1]) >= sure
 
     def pairs(cell: tuple, nodes: list[_ListNode]) -> Iterator[tuple[int, int]]:
-        _, i, j = cell
+        v, i, j = cell
         low = [x for x in nodes if x.own == i]
         high = low if i == j else [x for x in nodes if x.own == j]
         if len(nodes) <= FEW:
@@ -326,19 +328,22 @@ def _compare_lists(rule: Rule):
             both = _shared([x.sketch for x in low], [x.sketch for x in high])
             n, m = (np.array([x.n for x in s]) for s in (low, high))
             whole = (n[:, None] <= k) & (m[None, :] <= k)
-            enough = np.where(whole, 100 * both >= percent * (n[:, None] + m[None, :] - both), both >= sure)
+            p, q = (np.array([x.root for x in s]) for s in (low, high))
+            f, g = (np.array([x.few for x in s]) for s in (low, high))
+            open_ = (p[:, None] != q[None, :]) & (f[:, None] | g[None, :])
+            enough = open_ & np.where(whole, 100 * both >= percent * (n[:, None] + m[None, :] - both), both >= sure)
             if i == j:
                 enough = np.triu(enough, 1)
             met = ((low[p], high[q]) for p, q in np.argwhere(enough))
         for x, y in met:
-            if apart(x, y) and near(x, y):
+            if apart(v, x, y) and near(x, y):
                 yield min(x.node, y.node), max(x.node, y.node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, nodes = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            columns = (batch.column(c).to_pylist() for c in ("v", "i", "j", "own", "node", "n", "root", "few", "clusters", "sketch"))
+            columns = (batch.column(c).to_pylist() for c in ("v", "i", "j", "own", "node", "n", "root", "few", "clusters", "sketch", "lists"))
             for v, i, j, *rest in zip(*columns, strict=True):
                 if cell != (v, i, j):
                     found += pairs(cell, nodes) if nodes else ()
