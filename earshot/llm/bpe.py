@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,14 +191,25 @@ class _Known(dict):
 
 
 def compile_file(path: str) -> Automaton:
-    """The automaton of a tokenizer file; read on the driver, sent to executors as a broadcast of a few MB."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    """The automaton of a tokenizer file."""
+    with open(path, "rb") as f:
+        return compile_spec(f.read())
+
+
+def _checked(content: bytes) -> dict:
+    spec = json.loads(content)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
     plain_added = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) for a in spec["added_tokens"])
     if model["type"] != "BPE" or odd or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not plain_added:
-        raise ValueError(f"not a plain byte-level BPE file: {path}")
+        raise ValueError("not a plain byte-level BPE file")
+    return spec
+
+
+def compile_spec(content: bytes) -> Automaton:
+    """The automaton of a tokenizer file's content."""
+    spec = _checked(content)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     letters, vocab = byte_letters(), model["vocab"]
     added = {a["content"]: a["id"] for a in spec["added_tokens"]}
     labels = [b""] * (1 + max([*vocab.values(), *added.values()]))
@@ -213,13 +223,16 @@ def compile_file(path: str) -> Automaton:
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, the ids (little-endian 32-bit) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(compile_file(path)))
+    with open(path, "rb") as f:
+        content = f.read()
+    _checked(content)  # a wrong file fails here; workers compile it, so that the driver never holds an automaton
+    shared = docs.sparkSession.sparkContext.broadcast(content)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a worker keeps the broadcast between its tasks, and with it the automaton and the words it knows
         if not hasattr(shared, "automaton"):
-            shared.automaton = cloudpickle.loads(shared.value)
+            shared.automaton = compile_spec(shared.value)
         automaton = shared.automaton
         for batch in batches:
             for first in range(0, batch.num_rows, CHUNK_ROWS):
