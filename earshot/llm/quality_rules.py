@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earshot.llm import bytewords
 from earshot.llm.scratch import Scratch
@@ -138,15 +138,17 @@ def cutoffs(measured: DataFrame, labels: DataFrame, limits: Limits, scratch: Scr
     )
     allowed = limits.risk / len(rules)
 
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        # a share above the limit can't pass, so its long sum needn't be made
-        return pd.Series([1.0 if a >= allowed * b else binomial_tail(int(a), int(b), allowed) for a, b in zip(k, n)])
+    def with_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("lost").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            # a share above the limit can't pass, so its long sum needn't be made
+            tails = [1.0 if k >= allowed * n else binomial_tail(k, n, allowed) for k, n in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tails, pa.float64())], [*batch.schema.names, "tail"])
 
     tests = scratch.stage(tests, "quality_tests")  # strata times rules rows
     strata = max(1, tests.select("stratum").distinct().count())
     tests = tests.select("stratum", "rule", "n", F.explode("g").alias("g")).select("stratum", "rule", "n", "g.*")
-    tests = tests.withColumn("tail", tail("lost", "n"))
+    tests = tests.mapInArrow(with_tail, T.StructType([*tests.schema.fields, T.StructField("tail", T.DoubleType())]))
     tests = tests.withColumn("ok", F.col("tail") <= limits.delta / (strata * len(rules)))
     # fixed sequence: a cutoff counts only if all looser ones passed
     refused = tests.where("not ok").groupBy("stratum", "rule").agg(F.max("cutoff").alias("refused"))
