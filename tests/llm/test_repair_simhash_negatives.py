@@ -271,6 +271,27 @@ def test_hard_negatives(spark, monkeypatch, block):
     assert hard_negatives.mine(df, F.lit(False)).count() == 0
 
 
+def test_hard_negatives_of_large_components(spark, monkeypatch):
+    """Scores that doubles can't hold, that 64 bits can't, and one huge row that is nobody's negative."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", 64)
+    r = random.Random(1)
+    small = lambda: [r.choice([0.0, 0.00390625, 0.0078125, 0.02, 0.3]) for _ in range(6)]
+    table = [(v, [0.0, 1048576.0 if v % 5 else 524288.0, *small()], v % 4) for v in range(1, 402)]
+    table += [(100 * v, [0.0, 1e6 * v, *small()], v % 4) for v in range(5, 12)]
+    table += [(1301 + v, [x, 1e6, *small()], v % 4) for v, x in enumerate([3e38, -3e38, 1e30, 0.1])] + [(1400, [1e30, 1.0, *small()], 1), (1500, [-1e30, 7.0, *small()], 2)]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    want = plain_negatives(table)
+    assert any(x[4] > 2**53 and x[4] % 2 for x in want)
+    assert all(abs(x[i]) < 2**63 for x in want for i in (4, 5))
+    assert rows(hard_negatives.mine(df, F.col("vec_id") % 100 == 0, label)) == want
+    beyond = [2**70 + 5, 2**70, 2**63, 2**63 - 1, 0, -(2**63), -(2**63) - 1, -(2**90)]
+    cells = [hard_negatives._cells(x) for x in beyond]
+    assert cells == sorted(cells, reverse=True) and [hard_negatives._number(*c) for c in cells[:6]] == beyond[:6]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        rows(hard_negatives.mine(spark.createDataFrame([(100, [1e9], 1), (1, [1e30], 1), (2, [5e29], 2)], df.schema), F.col("vec_id") == 100))
+
+
 def test_damage_covers_every_kind(spark, middle_dir):
     talks = spark.read.parquet(f"{middle_dir}/conversations.parquet")
     before, after = talks.count(), queries.damaged(talks)
