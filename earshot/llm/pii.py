@@ -9,7 +9,7 @@ lowest score is chosen, for each kind, above which at least ``PRECISION`` of the
 Of the candidates that overlap none and reach the threshold of their kind the best is added, then the best of those
 that overlap no added one, until none is left.
 
-Training reads at most ``TRAIN_ROWS`` distinct candidates of each label, the smallest by hash; everything else covers all rows. With
+Training and calibration read all distinct candidates of either label; a quarter of them, by hash, is held out. With
 fewer than ``LEAST_ROWS`` of either label nothing is added. Null text counts as empty, repeated rows each get
 their spans, null ids are ids like any other, other columns are not looked at. Positions are code points, ends
 exclusive. All patterns run in linear time and constant stack on any text: runs are possessive and start at the
@@ -51,7 +51,7 @@ VARIANTS = {
     "phone": ((r"^\+[0-9]{1,3} ", ""), (r"^\+[0-9]{1,3} \(([0-9]+)\) ", "$1-")),
 }
 CONTEXT = 24
-TRAIN_ROWS, LEAST_ROWS, PRECISION = 4_000, 40, 0.99
+LEAST_ROWS, PRECISION = 40, 0.99
 SCORES = tuple(x / 100 for x in range(50, 100, 2))
 CONTEXT_WORDS = {
     "email": "(?i)mail|contact|@", "ip": "(?i)\\bip\\b|host|server|addr", "card": "(?i)card|visa|carte|karte|tarjeta|pay",
@@ -143,7 +143,7 @@ def _features(spans: DataFrame) -> DataFrame:
 
 
 def _training(base: DataFrame, wide: DataFrame, scratch: Scratch) -> DataFrame:
-    """Bounded labelled candidates with features, and which of them are held out."""
+    """All distinct labelled candidates with features, and which of them are held out."""
     columns = ["kind", "match", "before", "after"]
     positive = base.select(*columns)
     for kind, forms in VARIANTS.items():
@@ -157,11 +157,10 @@ def _training(base: DataFrame, wide: DataFrame, scratch: Scratch) -> DataFrame:
     }
     forms = positive.withColumns(form).select("kind", "form", "valid").distinct()
     negative = wide.where("not touches").select(*columns).withColumns(form).join(forms, ["kind", "form", "valid"], "left_anti").select(*columns)
-    parts = []
-    for label, rows in ((1.0, positive), (0.0, negative)):
-        key = F.xxhash64(*columns)
-        parts.append(rows.distinct().withColumn("h", key).orderBy("h", *columns).limit(TRAIN_ROWS).withColumn("label", F.lit(label)))
-    return scratch.stage(_features(parts[0].union(parts[1])).withColumn("held_out", F.pmod(F.shiftright("h", 20), F.lit(4)) == 0), "pii_training")
+    marked = positive.withColumn("label", F.lit(1.0)).union(negative.withColumn("label", F.lit(0.0))).distinct().withColumn("h", F.xxhash64(*columns))
+    described = _features(marked).withColumn("held_out", F.pmod(F.shiftright("h", 20), F.lit(4)) == 0)
+    ordered = described.sortWithinPartitions("h", "label", *columns)  # the same rows give the same model
+    return scratch.stage(ordered.select("kind", "label", "held_out", *FEATURES), "pii_training")
 
 
 def _score(model, spans: DataFrame) -> DataFrame:

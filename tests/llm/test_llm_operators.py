@@ -332,6 +332,19 @@ def test_model_adds_other_forms(spark):
         assert len([x for x in found[i].split(",") if x]) == sum(map(len, base[i].values())), text
 
 
+def test_all_candidates_are_training_rows(spark, monkeypatch):
+    """Every distinct labelled candidate trains or calibrates the model, however many there are."""
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 60, raising=False)  # the bound there was
+    texts = [(i, f"mail u{i}@mail{i}.example.com or number 999.{i % 90 + 300}.{i}.7") for i in range(300)]
+    texts = pii.keyed(spark.createDataFrame(texts + texts, "doc_id bigint, text string"))
+    base = pii._matches(texts, pii.PATTERNS, pii.HINTS).where(pii._passes(pii.F.col("kind"), pii.F.col("match")))
+    wide = pii._matches(texts, {"ip": pii.WIDE["ip"]}, pii.WIDE_HINTS).withColumn("touches", pii.F.lit(False))
+    training = pii._training(base, wide, Scratch(spark))
+    sizes = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
+    assert sizes == {1.0: 900, 0.0: wide.count()} and wide.count() > 60  # an address has two other forms
+    assert 0.15 < training.where("held_out").count() / training.count() < 0.35
+
+
 def test_lists_of_numbers_keep_all_their_spans(spark):
     """Bridged neighbours are each added, and a base span takes only what overlaps itself."""
     text = "234-567-8901 345-678-9012 456-789-0123"
