@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.learning.models import fit
 from earshot.llm import bytewords
 from earshot.llm.scratch import Scratch
 
@@ -161,7 +162,7 @@ def scan(docs: DataFrame, path: Column, labelled: DataFrame | None = None) -> Da
         scored = described.withColumn("score", F.greatest("assigned", "form"))
     else:
         forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=30, maxDepth=6, seed=11)
-        model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(training)
+        model = fit(Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]), training)
         scored = model.transform(described).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "start", "end", F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"))
 

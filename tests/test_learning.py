@@ -2,8 +2,10 @@ import math
 
 import pytest
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from earshot.learning import clusters, kmeans, matrix, models, scores
@@ -62,6 +64,33 @@ def test_cross_validation_and_importances(spark, rows):
     assert best.feature == "x"
 
 
+@pytest.fixture
+def observed(spark):
+    """A session that has observed a table: it can't be sent to tasks any more, nor can what refers to it."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 3}
+
+
+@pytest.mark.parametrize("name", models.NAMES)
+def test_models_score_in_an_observed_session(observed, rows, name):
+    model = models.train(name, rows, SETTINGS)
+    assert models.accuracy_and_auc(model, rows)[1] > 0.85
+    assert models.score(model, rows).count() == models.score(model, rows).where("score between 0 and 1").count() == 1500
+
+
+def test_validation_in_an_observed_session(observed, rows):
+    """The same figures as Spark's own validator gives over these folds, where that can run."""
+    mean, spread = models.cross_validate(models.BOOSTING, rows, SETTINGS)
+    weighted = matrix.add_weights(matrix.add_folds(rows, SETTINGS.folds))
+    fitted = CrossValidator(
+        estimator=models.pipeline(models.BOOSTING, ["x", "z"], 1500, SETTINGS), estimatorParamMaps=[{}],
+        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"), numFolds=SETTINGS.folds, foldCol="fold",
+    ).fit(weighted)
+    assert (mean, spread) == pytest.approx((fitted.avgMetrics[0], fitted.stdMetrics[0]), abs=1e-3)
+    assert models.cross_validate(models.LOGISTIC, rows, SETTINGS)[0] > 0.8
+
+
 @pytest.mark.parametrize("folds", [2, 5, 7])
 def test_folds_are_stratified(spark, folds):
     rows = [(i, 0 if i % 9 else 1, 1.0) for i in range(500)] + [(None, 1, 1.0), (1000, None, 2.0), (1000, None, 2.0)]
