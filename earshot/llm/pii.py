@@ -4,20 +4,23 @@ Base spans are the leftmost matches of a fixed pattern for each kind that pass i
 Luhn sum, number of digits). High-recall generators propose further, possibly overlapping, candidates: numbers
 without plus sign or with other separators, addresses written with ``(at)``. Gradient-boosted trees see the
 format of a candidate and its neighbourhood. They learn from the corpus itself: base spans and forms of them with
-changed separators are positive, proposed spans that overlap no base span are negative. On a held-out part the
-lowest score is chosen, for each kind, above which at least ``PRECISION`` of the candidates are positive. All base spans stay.
+changed separators are positive, proposed spans that overlap no base span are negative. Each candidate is scored by trees
+fitted without its part of the corpus, and from these scores the lowest one is chosen, for each kind, above which at least
+``PRECISION`` of the candidates are positive. The trees that score new spans are fitted on all parts. All base spans stay.
 Of the candidates that overlap none and reach the threshold of their kind the best is added, then the best of those
 that overlap no added one, until none is left.
 
-Training and calibration read all distinct candidates of either label; a quarter of them, by hash, is held out. With
-fewer than ``LEAST_ROWS`` of either label nothing is added. Null text counts as empty, repeated rows each get
-their spans, null ids are ids like any other, other columns are not looked at. Positions are code points, ends
-exclusive. All patterns run in linear time and constant stack on any text: runs are possessive and start at the
-beginning of a run.
+Training and calibration both read all distinct candidates of either label, in ``FOLDS`` parts by hash. Cut points of
+the trees come from all of them, too (of up to 2**31 different rows of features). With fewer than ``LEAST_ROWS`` of
+either label nothing is added. Null text counts as empty, repeated rows each get their spans, null ids are ids like any
+other, other columns are not looked at. Positions are code points, ends exclusive. All patterns run in linear time and
+constant stack on any text: runs are possessive and start at the beginning of a run.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -51,7 +54,7 @@ VARIANTS = {
     "phone": ((r"^\+[0-9]{1,3} ", ""), (r"^\+[0-9]{1,3} \(([0-9]+)\) ", "$1-")),
 }
 CONTEXT = 24
-LEAST_ROWS, PRECISION = 40, 0.99
+LEAST_ROWS, PRECISION, FOLDS, BINS = 40, 0.99, 4, 32
 SCORES = tuple(x / 100 for x in range(50, 100, 2))
 CONTEXT_WORDS = {
     "email": "(?i)mail|contact|@", "ip": "(?i)\\bip\\b|host|server|addr", "card": "(?i)card|visa|carte|karte|tarjeta|pay",
@@ -143,7 +146,7 @@ def _features(spans: DataFrame) -> DataFrame:
 
 
 def _training(base: DataFrame, wide: DataFrame, scratch: Scratch) -> DataFrame:
-    """All distinct labelled candidates with features, and which of them are held out."""
+    """All distinct labelled candidates with features, their part, and which of them the first part holds out."""
     columns = ["kind", "match", "before", "after"]
     positive = base.select(*columns)
     for kind, forms in VARIANTS.items():
@@ -158,9 +161,9 @@ def _training(base: DataFrame, wide: DataFrame, scratch: Scratch) -> DataFrame:
     forms = positive.withColumns(form).select("kind", "form", "valid").distinct()
     negative = wide.where("not touches").select(*columns).withColumns(form).join(forms, ["kind", "form", "valid"], "left_anti").select(*columns)
     marked = positive.withColumn("label", F.lit(1.0)).union(negative.withColumn("label", F.lit(0.0))).distinct().withColumn("h", F.xxhash64(*columns))
-    described = _features(marked).withColumn("held_out", F.pmod(F.shiftright("h", 20), F.lit(4)) == 0)
+    described = _features(marked).withColumn("fold", F.pmod(F.shiftright("h", 20), F.lit(FOLDS)).cast("int")).withColumn("held_out", F.col("fold") == 0)
     ordered = described.sortWithinPartitions("h", "label", *columns)  # the same rows give the same model
-    return scratch.stage(ordered.select("kind", "label", "held_out", *FEATURES), "pii_training")
+    return scratch.stage(ordered.select("kind", "label", "fold", "held_out", *FEATURES), "pii_training")
 
 
 def _score(model, spans: DataFrame) -> DataFrame:
@@ -169,18 +172,29 @@ def _score(model, spans: DataFrame) -> DataFrame:
 
 def _fit(training: DataFrame, scratch: Scratch):
     """The model and its thresholds ``kind, threshold``; none when there are too few labels."""
-    counts = {(r["label"], r["held_out"]): r["count"] for r in training.groupBy("label", "held_out").count().collect()}
-    if min(counts.get((x, y), 0) for x in (0.0, 1.0) for y in (False, True)) * 4 < LEAST_ROWS:
+    counts = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
+    if min(counts.get(x, 0) for x in (0.0, 1.0)) < LEAST_ROWS:
         return None
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=7)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees]).fit(training.where("not held_out"))
-    held = _score(model, training.where("held_out"))
-    tried = held.select("kind", "label", F.explode(F.array(*[F.when(F.col("score") >= s, F.lit(s)) for s in SCORES])).alias("threshold"))
-    good = tried.where("threshold is not null").groupBy("kind", "threshold").agg(F.avg("label").alias("precision"))
+    # rows of equal features are one, which weighs as many
+    columns = ["kind", "label", "fold", *FEATURES]
+    rows = training.groupBy(*columns).agg(F.count("*").cast("double").alias("weight")).sortWithinPartitions(*columns)
+    rows = scratch.stage(rows, "pii_weighted")
+    # Spark ML samples rows for its cut points once there are more than the square of the bins
+    bins = max(BINS, math.isqrt(rows.count()) + 1)
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxBins=bins, maxIter=12, maxDepth=3, stepSize=0.3, seed=7)
+    steps = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees])
+    held = None
+    for fold in range(FOLDS):
+        part = _score(steps.fit(rows.where(F.col("fold") != fold)), rows.where(F.col("fold") == fold)).select("kind", "label", "weight", "score")
+        held = part if held is None else held.unionByName(part)
+    tried = held.select("kind", "label", "weight", F.explode(F.array(*[F.when(F.col("score") >= s, F.lit(s)) for s in SCORES])).alias("threshold"))
+    precision = F.sum(F.col("label") * F.col("weight")) / F.sum("weight")
+    good = tried.where("threshold is not null").groupBy("kind", "threshold").agg(precision.alias("precision"))
+    good = scratch.stage(good, "pii_precision")  # kinds times scores
     # the lowest score from which on every higher one is precise as well
     low = good.groupBy("kind").agg(F.max(F.when(F.col("precision") < PRECISION, F.col("threshold"))).alias("bad"))
     chosen = good.join(low, "kind").where("bad is null or threshold > bad").groupBy("kind").agg(F.min("threshold").alias("threshold"))
-    return model, scratch.stage(chosen, "pii_thresholds")
+    return steps.fit(rows), scratch.stage(chosen, "pii_thresholds")
 
 
 def _islands(spans: DataFrame) -> DataFrame:

@@ -345,6 +345,41 @@ def test_all_candidates_are_training_rows(spark, monkeypatch):
     assert 0.15 < training.where("held_out").count() / training.count() < 0.35
 
 
+def _labelled(rows, **features):
+    """Training rows from ``kind, label, fold`` with fixed features."""
+    given = {c: pii.F.lit(0.0) for c in pii.FEATURES} | features
+    return rows.withColumn("held_out", pii.F.col("fold") == 0).withColumns({c: v.cast("double") for c, v in given.items()})
+
+
+def test_cut_points_come_from_all_rows(spark):
+    """Features that four rows of 100,000 show are cut, which a sample of rows mostly misses."""
+    rare = pii.FEATURES[7:]
+    rows = spark.range(100_000, numPartitions=4).selectExpr("id", "'email' kind", f"double(id < {4 * len(rare)}) label", "int(id % 4) fold")
+    marks = {c: (pii.F.col("label") == 1) & (pii.F.floor(pii.F.col("id") / 4) == i) for i, c in enumerate(rare)}
+    training = _labelled(rows, length=pii.F.pmod(pii.F.xxhash64("id"), pii.F.lit(1 << 30)), **marks)
+    model, _ = pii._fit(training, Scratch(spark))
+    same = training.withColumn("length", pii.F.lit(float(1 << 29)))  # so that only the rare features tell
+    scores = pii._score(model, same).groupBy("label").agg(pii.F.min("score").alias("low"), pii.F.max("score").alias("high"))
+    found = {r.label: (r.low, r.high) for r in scores.collect()}
+    assert found[1.0][0] > found[0.0][1]
+
+
+def test_thresholds_come_from_all_candidates(spark):
+    """False candidates count against a kind in whichever part of the corpus they are."""
+    rows = spark.range(400).selectExpr("'email' kind", "double(id % 8 < 4) label", "int(id % 4) fold", "id % 8 < 4 at")
+    mixed = spark.range(400).selectExpr("'ip' kind", "double(id % 4 = 0 or id >= 100) label", "int(id % 4) fold", "true at")
+    training = _labelled(rows.union(mixed), has_at=pii.F.col("at"), kind_no=pii.F.col("kind") == "ip").drop("at")
+    _, thresholds = pii._fit(training, Scratch(spark))
+    assert {r.kind for r in thresholds.collect()} == {"email"}  # 325 of 400 are no 99 percent
+
+
+@pytest.mark.parametrize("n", [40, 39])
+def test_labels_of_all_parts_are_counted(spark, n):
+    """Whether there are enough labels is counted in all candidates, not in one part of them."""
+    rows = spark.range(2 * n).selectExpr("'email' kind", f"double(id < {n}) label", "int(1 + id % 3) fold", f"id < {n} at")
+    assert (pii._fit(_labelled(rows, has_at=pii.F.col("at")).drop("at"), Scratch(spark)) is not None) == (n == 40)
+
+
 def test_lists_of_numbers_keep_all_their_spans(spark):
     """Bridged neighbours are each added, and a base span takes only what overlaps itself."""
     text = "234-567-8901 345-678-9012 456-789-0123"
